@@ -38,6 +38,78 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return batch_repeats(history, batches, ["tenant_id", "context"]).distinct()
 
 
+def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Pieces of all episodes within the limit of their kind."""
+    from memloom.llm.split import split_episodes
+
+    p = split_episodes(table(spark, sf, "episodes"), table(spark, sf, "size_limits"))
+    return p.select("episode_id", "kind", "piece_no", "n_pieces", "start", "body_start", "end", "chunk_id", "piece")
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Episodes that the splitter cut into more than one piece."""
+    return p1_pieces(spark, sf).filter((F.col("piece_no") == 0) & (F.col("n_pieces") > 1)).select("episode_id").distinct()
+
+
+def _episode_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    from memloom.llm.vectors import from_arrays
+    from memloom.sources.tables import materialize
+
+    return materialize(from_arrays(table(spark, sf, "episodes"), "episode_id", "semantic_vector"), "vectors")
+
+
+def _p4_clusters(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    from memloom.llm.markov import cliques, clusters, similarity_graph
+    from memloom.sources.tables import materialize
+
+    v = _episode_vectors(spark, sf)
+    members = materialize(clusters(similarity_graph(v, 0.8)), "clusters")
+    return v, members, cliques(members, v, 0.8)
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Members of the clusters of five or more mutually similar episode vectors."""
+    _, members, sizes = _p4_clusters(spark, sf)
+    firsts = members.groupBy("cluster").agg(F.min("id").alias("cluster_first_id"))
+    return members.join(sizes, "cluster").join(firsts, "cluster").select("cluster_first_id", F.col("id").alias("episode_id")).distinct()
+
+
+def p4_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Each cluster with its size, its most typical members (strongest flow) and the nearest cortex centroid."""
+    from memloom.llm.markov import describe
+
+    v, members, sizes = _p4_clusters(spark, sf)
+    return describe(members, sizes, v, table(spark, sf, "cortex"))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of engram vectors of cosine 0.85 or more, one among the five most similar of the other."""
+    from memloom.llm.vectors import from_blobs, similar_pairs, top_similar
+
+    v = from_blobs(table(spark, sf, "engram_vec"), "engram_id", "vec", "dim")
+    return similar_pairs(top_similar(v, 5, floor=0.85)).select(F.col("a").alias("engram_a"), F.col("b").alias("engram_b")).distinct()
+
+
+def p6_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """The five most similar episode vectors of every episode vector."""
+    from memloom.llm.vectors import top_similar
+
+    return top_similar(_episode_vectors(spark, sf), 5).select(F.col("id").alias("episode_id"), F.col("other").alias("similar_id"), F.round("cosine", 6).alias("cosine"))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of stuffed keywords, links or product tags."""
+    return p10_pages(spark, sf).select("doc_id").distinct()
+
+
+def p10_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Spam pages with reason and measures."""
+    from memloom.llm.spam import spam_pages
+
+    r = spam_pages(table(spark, sf, "documents").select("doc_id", "text", "lang"))
+    return r.filter("reason is not null").select("doc_id", "language", "reason", "n_words", *[F.round(c, 6).alias(c) for c in ("top_pair", "ten_pairs", "link_share", "separators", "function_share")])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
