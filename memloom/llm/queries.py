@@ -10,6 +10,26 @@ from pyspark.sql import functions as F
 from memloom.sources.tables import table
 
 
+def _contents(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "episodes").select(F.lit("episode").alias("rec_kind"), F.col("episode_id").cast("string").alias("rec_key"), "feed", F.col("content").alias("text"))
+    g = table(spark, sf, "engrams").select(F.lit("engram").alias("rec_kind"), F.col("engram_id").alias("rec_key"), "feed", F.col("content").alias("text"))
+    return e.unionByName(g)
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Records whose content was cut off before its end."""
+    from memloom.llm.truncation import cut_records
+
+    return cut_records(_contents(spark, sf)).filter("cut").select("rec_kind", "rec_key").distinct()
+
+
+def p2_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of cut records by feed."""
+    from memloom.llm.truncation import cut_records, cut_shares
+
+    return cut_shares(cut_records(_contents(spark, sf)))
+
+
 def p3_survivors(spark: SparkSession, sf: str) -> DataFrame:
     """One fused record per group of engrams of a tenant that say the same."""
     from memloom.llm.dedupe import same_text_groups
