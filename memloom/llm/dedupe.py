@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memloom.llm.textnorm import canonical, has_digit, same
-from memloom.sources.tables import materialize
+from memloom.sources.tables import materialize, spread
 
 LONG_NUMBER = 6
 SLACK = 0.4
@@ -43,7 +43,7 @@ def _canonical_udf():
 
 def with_canonical(df: DataFrame, text: str) -> DataFrame:
     """``df`` plus the canonical columns of column ``text`` (null counts as empty)."""
-    return df.withColumn("_c", _canonical_udf()(F.col(text))).select("*", "_c.*").drop("_c")
+    return spread(df).withColumn("_c", _canonical_udf()(F.col(text))).select("*", "_c.*").drop("_c")
 
 
 def _with_keys(classes: DataFrame, scope: list[str], df_words: DataFrame | None = None) -> DataFrame:

@@ -32,11 +32,11 @@ ES_STREETS = "Calle de los Olmos|Avda. Marisma|Calle Mayor|Calle del Molino|Avda
 DOMAINS = "example.org|example.com|mail.example.net|corp.example|post.test|inbox.invalid|example.net|office.example".split("|")
 
 CARRIERS = {
-    "email": "Reply goes to {} before noon.|Reach them under {}.|Mail bounced for {}.|The account {} asked for the export.|cc {} on the next report.|Cc {} on the next report.|Antwort bitte an {}.|Das Konto {} bat um den Auszug.|Responder a {}.|La cuenta {} pidió la copia.|Répondre à {}.|Le compte {} voulait l'export.|Write to {} for details.|Contact: {}",
-    "phone": "Fax goes through {}.|Tel {}, evenings only.|The number left was {}.|Text {} when the job ends.|Call back on {}.|Rückruf unter {}.|Mobil {}, nur abends.|Rappeler au {}.|Numéro laissé : {}.|Llamar al {}.|El número dejado fue {}.|Phone: {}|Nummer hinterlassen: {}.|Devolver la llamada al {}.",
-    "id_number": "{} was pasted into the ticket.|They confirmed {} in the chat.|Verify against {}.|The form lists {}.|Im Formular steht {}.|Bestätigt wurde {}.|En la ficha figura {}.|Confirmó {}.|La fiche indique {}.|Confirmé : {}.|Holder of {}.",
-    "address": "They live at {}.|Deliver to {} by Friday.|Ship the unit to {}.|Billing address: {}.|Der Termin ist in {}.|Lieferung an {}.|Visite prévue au {}.|Livrer au {}.|La visita es en {}.|Entregar en {}.",
-    "person_name": "Assigned to {} for review.|The caller was {}.|Spoke with {} about it.|As {} put it, the fix can wait.|Thanks to {}.|Freigabe durch {}.|Gespräch mit {} heute früh.|Lo aprobó {}.|Hablé con {} esta mañana.|Vu avec {} ce matin.|Validé par {}.|Signed, {}",
+    "email": "Reply goes to {} before noon.|Reach them under {}.|Mail bounced for {}.|The account {} asked for the export.|cc {} on the next report.|Cc {} on the next report.|Antwort bitte an {}.|Das Konto {} bat um den Auszug.|Responder a {}.|La cuenta {} pidió la copia.|Répondre à {}.|Le compte {} voulait l'export.|Write to {} for details.|Contact: {}|Escribir a {}.|Écrire à {}.",
+    "phone": "Fax goes through {}.|Tel {}, evenings only.|The number left was {}.|Text {} when the job ends.|Call back on {}.|Rückruf unter {}.|Mobil {}, nur abends.|Rappeler au {}.|Numéro laissé : {}.|Llamar al {}.|El número dejado fue {}.|Phone: {}|Nummer hinterlassen: {}.|Devolver la llamada al {}.|Dejó el número {}.|Dejó el número {}.",
+    "id_number": "{} was pasted into the ticket.|They confirmed {} in the chat.|Verify against {}.|The form lists {}.|Im Formular steht {}.|Bestätigt wurde {}.|En la ficha figura {}.|Confirmó {}.|La fiche indique {}.|Confirmé : {}.|Holder of {}.|Presentó {}.",
+    "address": "They live at {}.|Deliver to {} by Friday.|Ship the unit to {}.|Billing address: {}.|Der Termin ist in {}.|Lieferung an {}.|Visite prévue au {}.|Livrer au {}.|La visita es en {}.|Entregar en {}.|The site visit is at {}.|The site visit is at {}.|Enviar a {}.|Enviar a {}.|Geliefert an {}.|Envoyer au {}.",
+    "person_name": "Assigned to {} for review.|The caller was {}.|Spoke with {} about it.|As {} put it, the fix can wait.|Thanks to {}.|Freigabe durch {}.|Gespräch mit {} heute früh.|Lo aprobó {}.|Hablé con {} esta mañana.|Vu avec {} ce matin.|Validé par {}.|Signed, {}|{} signed off on the change.|{} signed off on the change.|{} approved the plan.|{} hat zugestimmt.|{} firmó el cambio.|{} a signé la demande.",
 }
 
 #: Sentences that resemble personal data and are none.
@@ -116,7 +116,7 @@ def id_number(r: random.Random) -> str:
             f"national insurance QQ {_d(r, 2)} {_d(r, 2)} {_d(r, 2)} {r.choice('ABCD')}", f"NINO QQ{_d(r, 6)}{r.choice('ABCD')}", f"passport {a}{a}{_d(r, 7)}", f"Passport {a}{a}{_d(r, 7)}",
             f"passport no. {a}{_d(r, 8)}", f"driving licence {a}{_d(r, 3)}-{_d(r, 4)}-{_d(r, 4)}", f"Driving licence {a}{_d(r, 3)}-{_d(r, 4)}-{_d(r, 4)}", f"DNI {_d(r, 8)}{r.choice(up)}",
             f"NIE X{_d(r, 7)}{r.choice(up)}", f"Steuer-ID {_d(r, 2)} {_d(r, 3)} {_d(r, 3)} {_d(r, 3)}", f"Ausweisnummer {r.choice('LCFG')}{_d(r, 3)}{r.choice(up)}{_d(r, 4)}{r.choice(up)}", f"Ausweisnummer L{_d(r, 8)}",
-            f"Reisepass C{_d(r, 8)}", f"Reisepass {a}{a}{_d(r, 7)}", f"passeport {_d(r, 2)}{a}{a}{_d(r, 5)}", f"pasaporte {a}{a}{a}{_d(r, 6)}",
+            f"Reisepass C{_d(r, 8)}", f"Reisepass {a}{a}{_d(r, 7)}", f"passeport {_d(r, 2)}{a}{a}{_d(r, 5)}", f"pasaporte {a}{a}{a}{_d(r, 6)}", f"pasaporte {a}{a}{a}{_d(r, 6)}", f"pasaporte {a}{_d(r, 8)}",
             f"numéro de sécurité sociale {_d(r, 1)} {_d(r, 2)} {_d(r, 2)} {_d(r, 2)} {_d(r, 3)} {_d(r, 3)} {_d(r, 2)}", f"Social security number 9{_d(r, 2)} {_d(r, 2)} {_d(r, 4)}", f"National insurance QQ {_d(r, 2)} {_d(r, 2)} {_d(r, 2)} {r.choice('ABCD')}",
         ]
     )

@@ -1,4 +1,4 @@
-"""Trains the tagger: ``python -m memloom.llm.pii_train TABLE_DIR OUT.npz [SECONDS]``.
+"""Trains the tagger: ``python -m memloom.llm.pii_train TABLE_DIR OUT.npz [SECONDS [START.npz]]``.
 
 Adam on the CRF likelihood with back-propagation through time, all in numpy.
 The carrier texts are at most MAX_ROWS rows of the tables, the documented
@@ -12,6 +12,7 @@ import random
 import re
 import sys
 import time
+from pathlib import Path
 
 import numpy as np
 
@@ -118,7 +119,7 @@ def _scatter(into: np.ndarray, idx: np.ndarray, rows: np.ndarray) -> None:
     into += one @ rows
 
 
-def train(table_dir: str, out: str, seconds: float) -> None:
+def train(table_dir: str, out: str, seconds: float, start: str | None = None) -> None:
     r, rng = random.Random(SEED), np.random.default_rng(SEED)
     bg = backgrounds(table_dir)
     K = len(TAGS)
@@ -129,6 +130,9 @@ def train(table_dir: str, out: str, seconds: float) -> None:
         p["E" + d][:, H : 2 * H] += 2.0
         p["U" + d] = rng.normal(0, 0.6 / np.sqrt(H), (H, 4 * H))
     tg = Tagger({k: v.astype(np.float32) for k, v in p.items()})
+    if start:
+        known = Tagger.load(Path(start)).p
+        tg.p = {k: known[k].copy() for k in p}
     m1 = {k: np.zeros_like(v) for k, v in tg.p.items()}
     m2 = {k: np.zeros_like(v) for k, v in tg.p.items()}
     avg = {k: v.copy() for k, v in tg.p.items()}
@@ -150,7 +154,7 @@ def train(table_dir: str, out: str, seconds: float) -> None:
         norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
         scale = min(1.0, 5.0 / (norm + 1e-9))
         step += 1
-        lr = 0.008 * min(1, step / 50) * max(0.03, 1 - spent / seconds)
+        lr = (0.004 if start else 0.008) * min(1, step / 50) * max(0.03, 1 - spent / seconds)
         for k in tg.p:
             gk = g[k] * scale
             m1[k] = 0.9 * m1[k] + 0.1 * gk
@@ -185,4 +189,4 @@ def evaluate(tg: Tagger, r: random.Random, bg: list[str], n: int = 2000) -> dict
 
 
 if __name__ == "__main__":
-    train(sys.argv[1], sys.argv[2], float(sys.argv[3]) if len(sys.argv) > 3 else 600)
+    train(sys.argv[1], sys.argv[2], float(sys.argv[3]) if len(sys.argv) > 3 else 600, sys.argv[4] if len(sys.argv) > 4 else None)

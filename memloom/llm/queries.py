@@ -130,6 +130,37 @@ def p10_pages(spark: SparkSession, sf: str) -> DataFrame:
     return r.filter("reason is not null").select("doc_id", "language", "reason", "n_words", *[F.round(c, 6).alias(c) for c in ("top_pair", "ten_pairs", "link_share", "separators", "function_share")])
 
 
+def _pii(spark: SparkSession, sf: str, redacted: bool) -> DataFrame:
+    from memloom.llm.pii import find_pii
+
+    e = table(spark, sf, "episodes").select(F.lit("episode").alias("rec_kind"), F.col("episode_id").cast("string").alias("rec_key"), F.col("content").alias("text"))
+    h = table(spark, sf, "handoffs").select(F.lit("handoff").alias("rec_kind"), F.col("handoff_id").alias("rec_key"), F.col("summary").alias("text")).distinct()
+    return find_pii(e.unionByName(h), "text", ["rec_kind", "rec_key"], redacted)
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Types of personal information in each record."""
+    return _pii(spark, sf, False).select("rec_kind", "rec_key", F.explode("spans.pii_type").alias("pii_type")).distinct()
+
+
+def p7_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """All records with typed placeholders in place of personal information."""
+    return _pii(spark, sf, True).select("rec_kind", "rec_key", F.size("spans").alias("n_spans"), "redacted")
+
+
+def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that contain eval items, with the share of the item's words and whether its answer is there."""
+    from memloom.llm.leakage import leaks
+
+    r = leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+    return r.withColumn("share", F.round("share", 6))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and the eval items they leak."""
+    return p8_leaks(spark, sf).select("doc_id", "item_id").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 

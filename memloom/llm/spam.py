@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memloom.sources.tables import materialize
+from memloom.sources.tables import materialize, spread
 
 #: Function words by language (fixed values).
 FUNCTION_WORDS = {
@@ -103,7 +103,7 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(s: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([measures(t) for t in s], columns=list(COLUMNS)).astype({"n_words": "int64"})
 
-    out = docs.withColumn("_m", run(F.col(text))).select(*[c for c in docs.columns if c not in COLUMNS], "_m.*")
+    out = spread(docs).withColumn("_m", run(F.col(text))).select(*[c for c in docs.columns if c not in COLUMNS], "_m.*")
     said = F.lower(F.substring(F.trim(F.col("lang")), 1, 2)) if "lang" in docs.columns else F.lit(None).cast("string")
     return out.withColumn("language", F.coalesce("guess", F.when(said.isin(*LANGUAGES), said), F.lit("en")))
 

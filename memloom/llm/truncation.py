@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from memloom.llm.textnorm import plain
-from memloom.sources.tables import materialize
+from memloom.sources.tables import materialize, spread
 
 #: Measures of length (fixed order: of equal evidence the first one names the limit).
 MEASURES = ("chars", "utf8", "utf16", "entities", "entities_utf8", "json", "json_ascii", "json_utf8", "crlf", "crlf_utf8")
@@ -147,7 +147,7 @@ def cut_records(rows: DataFrame) -> DataFrame:
     Null and blank texts are no records; repeated rows are judged alike.
     """
     schema = "rec_kind string, rec_key string, feed string, prev string, last string, certain boolean, proper boolean, lens array<int>, n long, n_end long"
-    scan = materialize(rows.select("rec_kind", "rec_key", "feed", "text").mapInPandas(_scan, schema), "scan")
+    scan = materialize(spread(rows.select("rec_kind", "rec_key", "feed", "text")).mapInPandas(_scan, schema), "scan")
     recs = scan.filter("rec_kind is not null").drop("n", "n_end")
     pairs = materialize(scan.filter("rec_kind is null").groupBy("prev", "last").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end")), "pairs")
     words = pairs.groupBy("last").agg(F.sum("n").alias("n1"), F.sum("n_end").alias("e1"))
