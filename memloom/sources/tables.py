@@ -39,3 +39,9 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
         w = w.partitionBy(partition_by)
     w.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least one partition per core: a small file read by one task would keep the others idle in Python steps."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
