@@ -161,6 +161,20 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return p8_leaks(spark, sf).select("doc_id", "item_id").distinct()
 
 
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents of the mix and how often each is used."""
+    from memloom.llm.mixing import mix
+
+    return mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares reached by every listed source."""
+    from memloom.llm.mixing import mix
+
+    return mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
