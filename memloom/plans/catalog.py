@@ -1,11 +1,541 @@
-"""All queries of the engine's core and their SQL."""
+"""All queries of the engine's core over the test tables, and their SQL (DuckDB)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from memloom.functions import stages as S
+from memloom.functions.text import cosine, micro, rich_tokens, words
+from memloom.operators import gate, graph, lifecycle, query, recall
+from memloom.sources import fovea
+from memloom.sources.tables import table
+from memloom.streaming import ingest as streams
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+WORDS = r"list_filter(regexp_split_to_array(lower(coalesce({0},'')), '[^\p{{L}}\p{{N}}]+'), lambda x: strlen(x) >= 2)"
+SLUG = r"array_to_string(list_slice({0},1,6),'_')"
+
+
+def _w(c: str) -> str:
+    return WORDS.format(c)
+
+
+def _rich(content: str, context: str, outcome: str) -> str:
+    w = _w(content)
+    gram = lambda n: f"(case when len({w}) >= {n} then list_transform(range(1, len({w}) - {n - 2}), lambda i: array_to_string(list_slice({w}, i, i + {n - 1}), '_')) else [] end)"
+    pre = lambda p, x: f"list_transform({x}, lambda y: '{p}' || y)"
+    return (
+        f"list_distinct(list_concat({pre('c:', w)}, {pre('x:', _w(context))}, {pre('o:', _w(outcome))}, {pre('bg:c:', gram(2))}, {pre('tg:c:', gram(3))}, "
+        f"['ctx@' || {SLUG.format(_w(context))}, 'sum@' || {SLUG.format(_w(f'substr({content},1,48)'))}]))"
+    )
+
+
+CUES = "(select handoff_id as cue_id, min(summary) as cue, min(agent) as agent_id from handoffs where summary is not null and summary <> '' group by 1)"
+LEX = f"""
+ cues as {CUES},
+ cw as (select cue_id, w as word, count(*) as times from (select cue_id, unnest(list_filter({_w('cue')}, lambda x: strlen(x) > 2)) as w from cues) group by 1, 2),
+ pw as (select engram_id, unnest(list_distinct(list_filter({_w('content')}, lambda x: strlen(x) > 2))) as word from engrams),
+ hits as (select cue_id, engram_id, sum(times)::bigint as hits from pw join cw using (word) group by 1, 2),
+ seeds as (select *, row_number() over (partition by cue_id order by hits desc, engram_id) as rank from hits qualify rank <= 64)"""
+OVER = f"""
+ ct as (select cue_id, len(ts) as cue_size, unnest(ts) as token from (select cue_id, {_rich('cue', "''", "''")} as ts from cues)),
+ pt as (select engram_id, unnest({_rich('content', 'context', 'outcome')}) as token from engrams),
+ ov as (select cue_id, engram_id, count(*) as matched, any_value(cue_size) as cue_size from pt join ct using (token) group by 1, 2)"""
+VER = "coalesce(struct_extract(provenance,'verified'),false)"
+FACT = "(regexp_matches(lower(content),'[0-9]') or contains(lower(content),'$') or contains(lower(content),'balance') or contains(lower(content),'wallet') or contains(lower(content),'ledger'))"
+MICRO = "floor(({0}) * 1000000 + 0.5)::bigint"
+
+
+def q(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _engrams(s, d):
+    return table(s, d, "engrams")
+
+
+def _cues(s, d):
+    return table(s, d, "handoffs").filter("summary is not null and summary <> ''").groupBy(F.col("handoff_id").alias("cue_id")).agg(F.min("summary").alias("cue"), F.min("agent").alias("agent_id"))
+
+
+# -- text and sources ----------------------------------------------------------
+@q(f"select engram_id, unnest({_w('content')}) as word, generate_subscripts({_w('content')}, 1) - 1 as pos from engrams")
+def tokens_words(s, d):
+    return _engrams(s, d).select("engram_id", F.posexplode(words(F.col("content"))).alias("pos", "word")).select("engram_id", "word", F.col("pos").cast("long").alias("pos"))
+
+
+@q(f"select engram_id, unnest({_rich('content', 'context', 'outcome')}) as token from engrams")
+def tokens_rich(s, d):
+    return recall.postings(_engrams(s, d))
+
+
+@q(f"select token, count(*) as n from (select unnest({_rich('text', chr(39) * 2, chr(39) * 2)}) as token from documents where text is not null) where token like 'tg:%' group by 1")
+def tokens_ngrams(s, d):
+    t = table(s, d, "documents").filter("text is not null").select(F.explode(rich_tokens(F.col("text"), F.lit(""), F.lit(None).cast("string"))).alias("token"))
+    return t.filter(F.col("token").startswith("tg:")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@q("""
+with t as (select doc_id, list_filter(regexp_split_to_array(coalesce(text,''), '\\s+'), lambda x: x <> '') as ts from documents),
+p as (select doc_id, ts, unnest(range(0, (case when len(ts) <= 12 then 0 else ceil((len(ts) - 12) / 8.0) end)::int + 1)) as packet from t where len(ts) > 0)
+select doc_id, packet::int as packet, (packet * 8)::int as token_offset, array_to_string(ts[packet*8+1 : packet*8+12],' ') as fovea,
+ array_to_string(ts[greatest(packet*8-12,0)+1 : packet*8],' ') as "before", array_to_string(ts[packet*8+13 : packet*8+24],' ') as "after", (45 + 10 * least(packet,3))::int as salience_percent from p""")
+def fovea_packets(s, d):
+    return fovea.packets(table(s, d, "documents"), "doc_id", "text")
+
+
+@q(f"""
+with w as (select doc_id, unnest({_w('text')}) as w from documents)
+select doc_id, (('0x' || substr(md5(w),1,7))::bigint % 32) as slot, sum(case when substr(md5(w),8,1) < '8' then 1 else -1 end)::bigint as value from w group by 1, 2 having value <> 0""")
+def hash_embedding(s, d):
+    return fovea.hash_embedding(table(s, d, "documents"), "doc_id", "text")
+
+
+# -- seeds and recall ------------------------------------------------------------
+@q(f"with {LEX} select cue_id, engram_id, hits, rank::int as rank from seeds")
+def lexical_seeds(s, d):
+    return recall.lexical_seeds(_engrams(s, d), _cues(s, d))
+
+
+@q(f"""
+with cues as {CUES}, w as (select engram_id, {_w('content')} as ws from engrams), st as (select count(*) as n, avg(len(ws)) as avg_len from w),
+c as (select cue_id, unnest(list_distinct({_w('cue')})) as word from cues),
+tf as (select engram_id, len(ws) as l, u.word, count(*) as tf from w, unnest(ws) as u(word) where u.word in (select word from c) group by 1, 2, 3),
+df as (select word, count(*) as df from tf group by 1),
+sc as (select cue_id, engram_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / avg_len))) as score from tf join df using (word) join c using (word), st group by 1, 2)
+select cue_id, engram_id, floor(score * 1000 + 0.5)::bigint as milli, (row_number() over (partition by cue_id order by round(score, 9) desc, engram_id))::int as rank from sc qualify rank <= 10""")
+def bm25_topk(s, d):
+    return recall.bm25(_engrams(s, d), _cues(s, d)).select("cue_id", "engram_id", F.floor(F.col("score") * 1000 + 0.5).cast("long").alias("milli"), "rank")
+
+
+COS = "list_cosine_similarity({0}::double[], {1}::double[])"
+
+
+@q(f"""
+with h as (select a.vec_id as query_id, b.vec_id, {COS.format('a.embedding', 'b.embedding')} as sim from embeddings a, embeddings b where a.vec_id % 50 = 0 and a.vec_id <> b.vec_id)
+select query_id, vec_id, {MICRO.format('sim')} as sim, (row_number() over (partition by query_id order by round(sim, 9) desc, vec_id))::int as rank from h where sim > 0.05 qualify rank <= 10""")
+def vector_topk(s, d):
+    e = table(s, d, "embeddings")
+    return recall.vector_topk(e, e.filter("vec_id % 50 = 0"), 10).select("query_id", "vec_id", micro(F.col("sim")).alias("sim"), "rank")
+
+
+@q(f"select a.vec_id as query_id, count(*) as near from embeddings a, embeddings b where a.vec_id % 50 = 0 and a.vec_id <> b.vec_id and {COS.format('a.embedding', 'b.embedding')} > 0.5 group by 1")
+def vector_pairs_threshold(s, d):
+    e = table(s, d, "embeddings")
+    return recall.vector_hits(e, e.filter("vec_id % 50 = 0"), 0.5).groupBy("query_id").agg(F.count(F.lit(1)).alias("near"))
+
+
+@q(f"""
+with h as (select a.vec_id as query_id, a.label = b.label as rel, row_number() over (partition by a.vec_id order by round({COS.format('a.embedding', 'b.embedding')}, 9) desc, b.vec_id) as rank
+ from embeddings a, embeddings b where a.vec_id % 50 = 0 and a.vec_id <> b.vec_id and {COS.format('a.embedding', 'b.embedding')} > 0.05 qualify rank <= 10),
+n as (select label, count(*) - 1 as rel_all from embeddings group by 1)
+select query_id, {MICRO.format("sum(case when rel then 1 else 0 end) / any_value(rel_all)::double")} as recall_micro from h join embeddings e on e.vec_id = query_id join n on n.label = e.label group by 1""")
+def recall_at_k(s, d):
+    e = table(s, d, "embeddings")
+    t = recall.vector_topk(e, e.filter("vec_id % 50 = 0"), 10)
+    mine = e.join(e.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("rel_all")), "label").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"), "rel_all")
+    return t.join(mine, "query_id").groupBy("query_id").agg(micro(F.count_if(F.col("label") == F.col("own")) / F.first("rel_all")).alias("recall_micro"))
+
+
+@q(f"""
+with h as (select a.vec_id as query_id, case when a.label = b.label then 1 else 0 end as rel, row_number() over (partition by a.vec_id order by round({COS.format('a.embedding', 'b.embedding')}, 9) desc, b.vec_id) as rank
+ from embeddings a, embeddings b where a.vec_id % 50 = 0 and a.vec_id <> b.vec_id and {COS.format('a.embedding', 'b.embedding')} > 0.05 qualify rank <= 10)
+select query_id, {MICRO.format("sum(rel / log2(rank + 1)) / (select sum(1 / log2(i + 1)) from range(1, 11) t(i))")} as ndcg_micro from h group by 1""")
+def ndcg_at_10(s, d):
+    e = table(s, d, "embeddings")
+    t = recall.vector_topk(e, e.filter("vec_id % 50 = 0"), 10).join(e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id")
+    ideal = F.lit(sum(1 / __import__("math").log2(i + 1) for i in range(1, 11)))
+    return t.groupBy("query_id").agg(micro(F.sum(F.when(F.col("label") == F.col("own"), 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)) / ideal).alias("ndcg_micro"))
+
+
+@q(f"with {LEX} select engram_id, count(*) as cues, max(hits) as most from seeds group by 1")
+def hybrid_candidates(s, d):
+    return recall.lexical_seeds(_engrams(s, d), _cues(s, d)).groupBy("engram_id").agg(F.count(F.lit(1)).alias("cues"), F.max("hits").alias("most"))
+
+
+@q(f"with {LEX}, {OVER} select cue_id, engram_id, matched, {MICRO.format('matched / cue_size::double')} as overlap from ov where matched >= 5")
+def cue_overlap(s, d):
+    return recall.overlap_scores(_engrams(s, d), _cues(s, d)).filter("matched >= 5").select("cue_id", "engram_id", "matched", micro(F.col("matched") / F.col("cue_size")).alias("overlap"))
+
+
+def _recall_sql(where: str = "", cand: str = "seeds", after: str = "") -> str:
+    return f"""
+with {LEX}, {OVER},
+ pre as (select h.*, row_number() over (partition by h.cue_id order by hits desc, h.engram_id) as r2 from hits h join engrams e using (engram_id) join cues c using (cue_id) where e.agent_id = c.agent_id qualify r2 <= 64),
+ sc as (select cue_id, engram_id, e.agent_id, {VER} as verified, 0.45::double * matched / cue_size + 0.35::double * 2 * matched as a from ov join {cand} using (cue_id, engram_id) join engrams e using (engram_id)),
+ cut as (select *, row_number() over (partition by cue_id order by round(a, 9) desc, engram_id) as r from sc where a > 0.05 qualify r <= 8),
+ boosted as (select cut.cue_id, engram_id, verified, a + case when verified then 0.15::double else 0::double end as activation from cut join cues using (cue_id) {where})
+select cue_id, engram_id, verified, {MICRO.format('activation')} as activation, (row_number() over (partition by cue_id order by round(activation, 9) desc, engram_id))::int as rank from boosted {after}"""
+
+
+def _recalled(df):
+    return df.select("cue_id", "engram_id", "verified", micro(F.col("activation")).alias("activation"), "rank")
+
+
+@q(_recall_sql())
+def recall_hybrid(s, d):
+    return _recalled(recall.recall(_engrams(s, d), _cues(s, d)))
+
+
+@q(_recall_sql(cand="pre"))
+def recall_agent_scoped(s, d):
+    return _recalled(recall.recall(_engrams(s, d), _cues(s, d), scope="pre"))
+
+
+@q(_recall_sql(where="where cut.agent_id = cues.agent_id"))
+def recall_agent_post(s, d):
+    return _recalled(recall.recall(_engrams(s, d), _cues(s, d), scope="post"))
+
+
+@q(f"""
+with {LEX}, {OVER}, o as (select cue_id, engram_id, round(matched / cue_size::double, 9) as o, coalesce(encoded_at_tick, 0) as tick from ov join engrams using (engram_id) where matched / cue_size::double > 0.2)
+select cue_id, engram_id, {MICRO.format('o')} as overlap from (select *, row_number() over (partition by cue_id order by o desc, tick desc, engram_id desc) as r from o) where r = 1""")
+def pattern_complete(s, d):
+    return recall.complete(_engrams(s, d), _cues(s, d)).select("cue_id", "engram_id", micro(F.col("overlap")).alias("overlap"))
+
+
+EDGE_SQL = f"""
+ f as (select engram_id, list_sort(list_distinct({_w('content')})) as fs from engrams),
+ raw as (select engram_id, src, dst, weight from (
+   select engram_id, x.v as src, y.v as dst, 0.3 as weight from f, unnest(list_slice(fs,1,4)) with ordinality as x(v, i), unnest(list_slice(fs,1,4)) with ordinality as y(v, j) where y.j > x.i
+   union all select engram_id, fs[i], fs[i+1], 0.2 from f, range(1, 9) t(i) where i < least(len(fs), 9)))"""
+
+
+@q(f"with {EDGE_SQL} select src, dst, count(*) as n, sum(floor(weight*10+0.5))::bigint as tenths from raw group by 1, 2")
+def wiring_edges(s, d):
+    return graph.wiring(_engrams(s, d)).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor(F.col("weight") * 10 + 0.5)).cast("long").alias("tenths"))
+
+
+@q(f"with {EDGE_SQL} select src, dst, {MICRO.format('max(weight)')} as weight from raw group by 1, 2")
+def edges_max_merge(s, d):
+    return graph.merge_max(graph.wiring(_engrams(s, d))).select("src", "dst", micro(F.col("weight")).alias("weight"))
+
+
+@q(f"with {EDGE_SQL} select src, dst, {MICRO.format('arg_min(weight, (engram_id, weight))')} as weight from raw group by 1, 2")
+def edges_dedup_first(s, d):
+    return graph.keep_first(graph.wiring(_engrams(s, d)), ["engram_id", "weight"]).select("src", "dst", micro(F.col("weight")).alias("weight"))
+
+
+@q(f"with {EDGE_SQL}, e as (select src, dst, max(weight) as w, count(distinct engram_id) as n from raw group by 1, 2) select src, dst, {MICRO.format('least(1.0, w + n * 0.025)')} as weight, n as co_activations from e")
+def hebbian_weights(s, d):
+    raw = graph.wiring(_engrams(s, d))
+    n = raw.groupBy("src", "dst").agg(F.countDistinct("engram_id").alias("n"))
+    return graph.hebbian(graph.merge_max(raw), n).select("src", "dst", micro(F.col("weight")).alias("weight"), "co_activations")
+
+
+@q("select l_orderkey, l_linenumber, l_discount as weight from lineitem where l_discount >= 0.05")
+def edges_pruned(s, d):
+    e = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_discount").alias("weight"))
+    return graph.prune(e, S.STAGES[6][3])
+
+
+HOP = """ m{0} as (select cue_id, dst as node, activation * weight * 0.21 as a from a{1} join e on node = src where activation * weight * 0.21 > 0.001),
+ a{0} as (select cue_id, node, sum(a) as activation from (select cue_id, node, activation as a from a{1} union all select cue_id, node, a from m{0}) group by 1, 2 having sum(a) > 0.01)"""
+
+
+@q(f"with cues as {CUES}, {EDGE_SQL}, e as (select src, dst, max(weight) as weight from raw group by 1, 2), a0 as (select distinct cue_id, unnest(list_distinct({_w('cue')})) as node, 1.0::double as activation from cues),"
+   + ",".join(HOP.format(i, i - 1) for i in range(1, 5)) + " select cue_id, count(*) as nodes, floor(sum(activation) * 1000 + 0.5)::bigint as milli from a4 group by 1")
+def spread_activation(s, d):
+    edges = graph.merge_max(graph.wiring(_engrams(s, d)))
+    seeds = _cues(s, d).select("cue_id", F.explode(F.array_distinct(words(F.col("cue")))).alias("node")).withColumn("activation", F.lit(1.0))
+    a = recall.spread(seeds, edges, S.SPREAD * S.STAGES[2][2])
+    return a.groupBy("cue_id").agg(F.count(F.lit(1)).alias("nodes"), F.floor(F.sum("activation") * 1000 + 0.5).cast("long").alias("milli"))
+
+
+# -- admission ---------------------------------------------------------------------
+GATE = """
+ r as (select tenant_id, engram_id as id, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(content,'')), '\\s+'), lambda x: x <> '')) as ws, encoded_at_tick as seq from engrams where tenant_id is not null),
+ o as (select *, row_number() over (partition by tenant_id order by seq nulls first, id) as ord, len(ws) as n from r where len(ws) > 0),
+ p as (select a.id, b.id as peer, b.ord as peer_ord, len(list_intersect(a.ws, b.ws)) as i, a.n + b.n - len(list_intersect(a.ws, b.ws)) as u from o a join o b on a.tenant_id = b.tenant_id and b.ord between a.ord - 512 and a.ord - 1)"""
+
+
+@q(f"""
+with {GATE}, best as (select id, peer, round(i / u::double, 9) as j, row_number() over (partition by id order by round(i / u::double, 9) desc, peer_ord) as r from p where i / u::double >= 0.72 qualify r = 1)
+select b.id as engram_id, peer, {MICRO.format('j')} as jaccard, case when coalesce(struct_extract(e.provenance,'verified'),false) or coalesce(starts_with(e.context,'ledger:'),false) then 'accept'
+ when j >= 0.85 or greatest(coalesce(q.separation_index::double, 0), 1 - j) < 0.35 then 'reject' else 'accept' end as verdict from best b join engrams e on e.engram_id = b.id join engrams q on q.engram_id = peer""")
+def dedup_gate_snapshot(s, d):
+    g = gate.snapshot_gate(_engrams(s, d).filter("tenant_id is not null"))
+    return g.select("engram_id", "peer", micro(F.col("jaccard")).alias("jaccard"), "verdict")
+
+
+@q()
+def dedup_gate_ordered(s, d):
+    return gate.ordered_gate(_engrams(s, d).filter("tenant_id is not null")).select("engram_id", "peer", "accepted")
+
+
+@q(f"""
+with {GATE}, w as (select id, max(i / u::double) as overlap, {', '.join(f'max(i / (u + {k})::double) as j{k}' for k in range(7))} from p where i / u::double >= 0.28 group by 1)
+select id as engram_id, {MICRO.format('overlap')} as overlap, (case {' '.join(f'when j{k} <= 0.28 then {k}' for k in range(6))} else 6 end)::int as separators,
+ {MICRO.format('1 - (case ' + ' '.join(f'when j{k} <= 0.28 then j{k}' for k in range(6)) + ' else j6 end)')} as separation from w""")
+def separation_index(s, d):
+    g = gate.separation_index(_engrams(s, d).filter("tenant_id is not null"))
+    return g.select("engram_id", micro(F.col("overlap")).alias("overlap"), "separators", micro(F.col("separation")).alias("separation"))
+
+
+@q("""
+with f as (select struct_extract(rag,'doc_id') as doc_id, struct_extract(rag,'chunk_id') as chunk_id, episode_id from episodes)
+select min(episode_id) as episode_id, doc_id, chunk_id from f where doc_id is not null and chunk_id is not null and not exists (select 1 from engrams e where struct_extract(e.rag,'doc_id') = f.doc_id and struct_extract(e.rag,'chunk_id') = f.chunk_id) group by 2, 3""")
+def ingest_idempotent(s, d):
+    new = table(s, d, "episodes").select("episode_id", "rag.doc_id", "rag.chunk_id")
+    return gate.insert_once(new, _engrams(s, d).select("rag.doc_id", "rag.chunk_id"))
+
+
+# -- consolidation -------------------------------------------------------------------
+@q(f"with t as (select round(coalesce(salience::double,0), 6) as s, unnest({_w(chr(99) + 'oncat_ws(' + chr(39) + ' ' + chr(39) + ', content, context, outcome)')}) as token from engrams) select token, floor(sum(s) * 0.1 * 1000 + 0.5)::bigint as milli, count(*) as times from t group by 1")
+def token_facts(s, d):
+    return graph.token_facts(_engrams(s, d)).select("token", F.floor(F.col("weight") * 1000 + 0.5).cast("long").alias("milli"), "times")
+
+
+@q(f"""
+with t as (select round(coalesce(salience::double,0), 6) as s, unnest({_w("concat_ws(' ', content, context, outcome)")}) as token from engrams), f as (select token, sum(s) * 0.1 as w from t group by 1),
+cues as {CUES}, c as (select cue_id, len(ws) as n, unnest(ws) as token from (select cue_id, {_w('cue')} as ws from cues))
+select cue_id, floor(sum(w) / any_value(n) * 100 + 0.5)::bigint as centi from c join f using (token) group by 1""")
+def fact_boost(s, d):
+    c = _cues(s, d).select("cue_id", words(F.col("cue")).alias("ws")).select("cue_id", F.size("ws").alias("n"), F.explode("ws").alias("token"))
+    return graph.token_facts(_engrams(s, d)).join(recall.small(c), "token").groupBy("cue_id").agg(F.floor(F.sum("weight") / F.first("n") * 100 + 0.5).cast("long").alias("centi"))
+
+
+CENT = "cent as (select label as centroid_id, list_transform(range(1, 65), lambda i: avg_at[i]) as centroid from (select label, list(m order by i) as avg_at from (select label, i, avg(embedding[i]::double) as m from embeddings, range(1, 65) t(i) group by 1, 2) group by 1))"
+
+
+def _centroids(e):
+    return e.groupBy(F.col("label").alias("centroid_id")).agg(F.array(*[F.avg(F.col("embedding")[i].cast("double")) for i in range(64)]).alias("centroid"))
+
+
+@q(f"with {CENT}, s as (select vec_id, centroid_id, round({COS.format('embedding', 'centroid')}, 9) as sim from embeddings, cent) select vec_id, centroid_id, {MICRO.format('sim')} as sim from s qualify row_number() over (partition by vec_id order by sim desc, centroid_id) = 1 and sim > 0.5")
+def centroid_assign(s, d):
+    e = table(s, d, "embeddings")
+    return graph.nearest_centroid(e, _centroids(e), cosine(F.col("embedding"), F.col("centroid")), 0.5).select("vec_id", "centroid_id", micro(F.col("sim")).alias("sim"))
+
+
+@q(f"with {CENT} select centroid_id, count(*) as n, {MICRO.format('max(' + COS.format('embedding', 'centroid') + ')')} as best from embeddings join cent on label = centroid_id group by 1")
+def centroid_boost(s, d):
+    e = table(s, d, "embeddings")
+    c = F.broadcast(_centroids(e)) if e.select("label").distinct().limit(1001).count() <= 1000 else _centroids(e)
+    return e.join(c, F.col("label") == F.col("centroid_id")).groupBy("centroid_id").agg(F.count(F.lit(1)).alias("n"), micro(F.max(cosine(F.col("embedding"), F.col("centroid")))).alias("best"))
+
+
+@q("select engram_id, round(salience::double, 6) as salience from engrams where round(salience::double, 6) >= 0.65 order by 2 desc, coalesce(encoded_at_tick,0), engram_id limit 20")
+def consolidate_topn(s, d):
+    r = _engrams(s, d).select("engram_id", F.round(F.col("salience").cast("double"), 6).alias("salience"), F.coalesce("encoded_at_tick", F.lit(0)).alias("t")).filter("salience >= 0.65")
+    return r.orderBy(F.desc("salience"), "t", "engram_id").limit(20).select("engram_id", "salience")
+
+
+@q("select tenant_id, engram_id, (row_number() over (partition by tenant_id order by encoded_at_tick desc nulls last, engram_id))::int as place, coalesce(replay_count,0) + 1 as replays from engrams qualify place <= 16")
+def replay_recent16(s, d):
+    w = W.partitionBy("tenant_id").orderBy(F.desc_nulls_last("encoded_at_tick"), "engram_id")
+    return _engrams(s, d).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= S.REPLAY_ROWS).select("tenant_id", "engram_id", "place", (F.coalesce("replay_count", F.lit(0)) + 1).alias("replays"))
+
+
+@q("select min(engram_id) as keeper, count(*) as merged, max(salience) as salience, sum(coalesce(replay_count,0))::bigint as replays from engrams where not coalesce(is_core,false) group by tenant_id, content, context having count(*) > 1")
+def compact_exact_dups(s, d):
+    return graph.exact_duplicates(_engrams(s, d))
+
+
+@q(f"""
+with {GATE} select id as engram_id, count(*) as peers, {MICRO.format('max(i / u::double)')} as best from p where i / u::double >= 0.85 group by 1""")
+def compact_near_dups(s, d):
+    n = recall.word_neighbours(_engrams(s, d).filter("tenant_id is not null"), "tenant_id", "encoded_at_tick", floor=S.MERGE_JACCARD)
+    return n.groupBy(F.col("id").alias("engram_id")).agg(F.count(F.lit(1)).alias("peers"), micro(F.max("jaccard")).alias("best"))
+
+
+@q("select engram_id, floor((round(salience::double, 6) - 0.05) * 1000000 + 0.5)::bigint as weight from engrams where salience is not null and round(salience::double, 6) - 0.05 > 0.01 + 1e-9")
+def salience_decay(s, d):
+    return lifecycle.salience_decay(_engrams(s, d), 5).select("engram_id", micro(F.col("weight")).alias("weight"))
+
+
+# -- metadata queries -------------------------------------------------------------------
+SUMMARY = f"select engram_id, life_id, agent_id, context, length(content) as chars, lower(trim(struct_extract(provenance,'kind'))) as kind, {VER} as verified, coalesce(is_core,false) as is_core, coalesce(encoded_at_tick,0) as tick, case when not {VER} and {FACT} then 'unverified factual claim' end as note from engrams"
+
+
+@q(f"{SUMMARY} order by tick, engram_id limit 50 offset 100")
+def list_engrams_page(s, d):
+    return query.page(_engrams(s, d), 2)
+
+
+@q(f"{SUMMARY} where {VER}")
+def list_verified(s, d):
+    return query.summary(_engrams(s, d).filter(query.verified()))
+
+
+@q(f"{SUMMARY} where not {VER} and {FACT}")
+def trust_notes(s, d):
+    return query.summary(_engrams(s, d)).filter("note is not null")
+
+
+@q(f"select engram_id, substr(content,1,100) as text from engrams where not {VER} and {FACT}")
+def unverified_warnings(s, d):
+    return query.warnings(_engrams(s, d))
+
+
+@q(f"select tenant_id, engram_id, c as confidence, (row_number() over (partition by tenant_id order by c desc, engram_id))::int as rank from (select tenant_id, engram_id, case when round(struct_extract(provenance,'confidence')::double,6) between 0 and 1 then round(struct_extract(provenance,'confidence')::double,6) else 0.0 end as c from engrams where {VER}) qualify rank <= 5")
+def verified_context(s, d):
+    return query.verified_context(_engrams(s, d))
+
+
+@q(f"{SUMMARY} where engram_id = (select min(engram_id) from engrams)")
+def get_engram(s, d):
+    e = _engrams(s, d)
+    return query.summary(e.join(e.agg(F.min("engram_id").alias("engram_id")), "engram_id", "left_semi"))
+
+
+@q("select struct_extract(rag,'doc_id') as doc_id, struct_extract(rag,'chunk_id') as chunk_id, count(*) as rows, min(engram_id) as first_id from engrams where struct_extract(rag,'doc_id') is not null group by 1, 2")
+def search_by_rag(s, d):
+    return _engrams(s, d).filter("rag.doc_id is not null").groupBy("rag.doc_id", "rag.chunk_id").agg(F.count(F.lit(1)).alias("rows"), F.min("engram_id").alias("first_id"))
+
+
+@q("select engram_id from engrams where coalesce(encoded_at_tick,0) >= 1000 or coalesce(is_core,false)")
+def forget_before(s, d):
+    return query.forget_before(_engrams(s, d), 1000).select("engram_id")
+
+
+@q(f"select tenant_id, count(*) as engrams, sum(case when {VER} then 1 else 0 end)::bigint as verified, sum(case when coalesce(is_core,false) then 1 else 0 end)::bigint as core, count(struct_extract(rag,'doc_id')) as with_reference, count(distinct life_id) as lives, max(encoded_at_tick) as last_tick, sum(coalesce(replay_count,0))::bigint as replays from engrams group by 1")
+def stats(s, d):
+    return query.stats(_engrams(s, d))
+
+
+@q("""
+select c_custkey as key, floor(amount * 100 + 0.5)::bigint as cents, abs(amount - c_acctbal) > 0.01 as conflict from (select c_custkey, c_acctbal, unnest(list_transform(regexp_extract_all('wallet $' || printf('%.2f', abs(c_acctbal)) || ' or $100', '\\$\\s*(\\d+(?:\\.\\d{1,2})?)', 1), lambda x: x::double)) as amount from customer)""")
+def claim_reconcile(s, d):
+    c = table(s, d, "customer").select(F.col("c_custkey").alias("engram_id"), F.concat(F.lit("wallet $"), F.format_string("%.2f", F.abs("c_acctbal")), F.lit(" or $100")).alias("content"))
+    truth = table(s, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("value"))
+    r = query.reconcile(query.claims(c).withColumnRenamed("engram_id", "key"), truth)
+    return r.select("key", F.floor(F.col("amount") * 100 + 0.5).cast("long").alias("cents"), "conflict")
+
+
+@q("select engram_id, floor(unnest(list_transform(regexp_extract_all(content, '\\$\\s*(\\d+(?:\\.\\d{1,2})?)', 1), lambda x: x::double)) * 100 + 0.5)::bigint as cents from engrams")
+def dollar_amounts(s, d):
+    return query.claims(_engrams(s, d)).select("engram_id", F.floor(F.col("amount") * 100 + 0.5).cast("long").alias("cents"))
+
+
+@q("select episode_id, case when length(content) > 8192 then 'too long' else 'secret' end as reason from episodes where length(content) > 8192 or regexp_matches(content, 'ghp_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,}|AKIA[0-9A-Z]{16}|-----BEGIN [A-Z ]*PRIVATE KEY-----|xox[baprs]-[A-Za-z0-9-]{10,}')")
+def secret_filter(s, d):
+    return query.refused(table(s, d, "episodes"))
+
+
+@q("select tenant_id, (('0x' || substr(md5(tenant_id),1,7))::bigint % 8) as shard, count(*) as rows from episodes where tenant_id is not null group by 1, 2")
+def shard_route(s, d):
+    e = table(s, d, "episodes").filter("tenant_id is not null")
+    return e.groupBy("tenant_id", query.shard(F.col("tenant_id"), 8).alias("shard")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@q("select tenant_id, feed, count(*) as rows, count(distinct agent_id) as agents from episodes group by rollup(tenant_id, feed)")
+def tenant_metrics(s, d):
+    return table(s, d, "episodes").rollup("tenant_id", "feed").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("agent_id").alias("agents"))
+
+
+@q("select tenant_id, count(*) as rows, count(*) > 50 as over from engrams group by 1")
+def quota_check(s, d):
+    return lifecycle.quota(_engrams(s, d), 50)
+
+
+REGION = "case when coalesce(is_core,false) then 'core' when starts_with(lower(coalesce(context,'')),'ledger:') then 'ledger' when starts_with(lower(coalesce(context,'')),'rag:') or starts_with(lower(coalesce(context,'')),'fovea:') then 'document' when coalesce(salience,0) >= 0.8 then 'salient' when contains(lower(coalesce(content,'')),'error') or contains(lower(coalesce(content,'')),'fail') then 'incident' else 'memory' end"
+
+
+@q(f"select engram_id, {REGION} as region, case when length(trim(content)) > 40 then substr(trim(content),1,40) || '…' else trim(content) end as label from engrams")
+def graph_nodes(s, d):
+    return query.nodes(_engrams(s, d))
+
+
+@q(f"""
+with t as (select tenant_id, engram_id, coalesce(encoded_at_tick,0) as tick, unnest({_rich('content', chr(39) * 2, chr(39) * 2)}) as token from engrams),
+p as (select lag(engram_id) over (partition by tenant_id, token order by tick, engram_id) as a, engram_id as b from t where token like 'tg:%')
+select a, b, count(*) as shared from p where a is not null group by 1, 2""")
+def graph_links_associate(s, d):
+    return graph.associations(_engrams(s, d))
+
+
+@q("""
+with h as (select distinct handoff_id, agent, regexp_replace(replace(coalesce(subdir,''), '\\', '/'), '^/+|/+$', '', 'g') as subdir, case when lower(trim(coalesce(status,''))) = '' then 'open' else lower(trim(status)) end as status,
+ strftime(try_strptime(replace(regexp_extract(trim(coalesce(created_at,'')), '^(\\d{4}-\\d{2}-\\d{2})[T ](\\d{2}:\\d{2}:\\d{2})', 0), 'T', ' '), '%Y-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S') as created, coalesce(len(next_steps),0)::int as steps from handoffs)
+select *, (row_number() over (partition by agent, subdir order by created desc nulls last, handoff_id))::int as rank from h qualify rank <= 3""")
+def handoff_latest(s, d):
+    return query.latest_handoffs(table(s, d, "handoffs"))
+
+
+@q("""
+with u as (select agent_id as agent, 'spoke' as side, engram_id as id, round(coalesce(salience::double,0),6) as score from engrams union all select agent_id, 'hub', episode_id::varchar, round(coalesce(case when isnan(salience_hint) then 0 else salience_hint end::double,0),6) from episodes)
+select agent, side, id, floor(score * 1000000 + 0.5)::bigint as score, (row_number() over (partition by agent order by score desc, side, id))::int as rank from u qualify rank <= 8""")
+def hub_spoke_merge(s, d):
+    sc = lambda c: F.round(F.coalesce(F.nanvl(F.col(c), F.lit(0.0)).cast("double"), F.lit(0.0)), 6)
+    spoke = _engrams(s, d).select(F.col("agent_id").alias("agent"), F.lit("spoke").alias("side"), F.col("engram_id").alias("id"), sc("salience").alias("score"))
+    hub = table(s, d, "episodes").select(F.col("agent_id").alias("agent"), F.lit("hub").alias("side"), F.col("episode_id").cast("string").alias("id"), sc("salience_hint").alias("score"))
+    u = spoke.unionByName(hub).withColumn("rank", F.row_number().over(W.partitionBy("agent").orderBy(F.desc("score"), "side", "id"))).filter("rank <= 8")
+    return u.select("agent", "side", "id", micro(F.col("score")).alias("score"), "rank")
+
+
+@q(f"""
+with v as (select tenant_id, engram_id, round(coalesce(salience::double,0),6) as s, regexp_matches(lower(content),'wallet|balance|ledger') and ({VER}) as hit, starts_with(coalesce(context,''),'ledger:') as led from engrams)
+select tenant_id, engram_id, floor((10 + s) * 1000000 + 0.5)::bigint as activation from v where hit and led qualify row_number() over (partition by tenant_id order by s desc, engram_id desc) = 1""")
+def ledger_preference(s, d):
+    e = _engrams(s, d).filter(F.lower("content").rlike("wallet|balance|ledger") & query.verified() & F.coalesce(F.col("context").startswith("ledger:"), F.lit(False)))
+    b = e.groupBy("tenant_id").agg(F.max(F.struct(F.round(F.coalesce(F.col("salience").cast("double"), F.lit(0.0)), 6).alias("s"), "engram_id")).alias("b"))
+    return b.select("tenant_id", F.col("b.engram_id").alias("engram_id"), micro(10 + F.col("b.s")).alias("activation"))
+
+
+# -- event folds and streams ----------------------------------------------------------------
+@q("select event_id, floor(least(1.0, 0.5 + 0.2 * coalesce(sum((event_type = 'purchase')::int) over w, 0)) * 1000000 + 0.5)::bigint as dopamine, floor(least(1.0, 0.3 + 0.25 * coalesce(sum((event_type = 'error')::int) over w, 0)) * 1000000 + 0.5)::bigint as norepinephrine from events window w as (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding)")
+def modulator_trace(s, d):
+    return lifecycle.modulators(table(s, d, "events")).select("event_id", micro(F.col("dopamine")).alias("dopamine"), micro(F.col("norepinephrine")).alias("norepinephrine"))
+
+
+STAGE_ROWS = ", ".join(f"({r[0]}, '{r[1]}', {r[5]}, {r[7]})" for r in S.STAGES if r[0] and not r[6] and not r[8])
+
+
+@q(f"""
+with e as (select user_id, row_number() over w as tick, sum((event_type <> 'view')::int) over (w rows between unbounded preceding and current row) as rows from events window w as (partition by user_id order by ts, event_id)),
+m as (select user_id, stage, name, min(tick) as met from e join (values {STAGE_ROWS}) t(stage, name, nr, nt) on rows >= nr and tick >= nt group by 1, 2, 3)
+select user_id, stage, name, max(met - stage) over (partition by user_id order by stage rows between unbounded preceding and current row) + stage as reached_tick from m""")
+def stage_timeline(s, d):
+    from memloom.functions.stages import stage_table
+
+    return lifecycle.stage_timeline(table(s, d, "events"), stage_table(s))
+
+
+@q("with t as (select user_id, row_number() over (partition by user_id order by ts, event_id) as tick from events) select user_id, ((tick - 1) // 50)::bigint as window_no, count(*) as due, least(count(*), 6) as slept from t where tick % 5 = 0 group by 1, 2")
+def sleep_windows(s, d):
+    return lifecycle.sleep_windows(table(s, d, "events"))
+
+
+@q("select event_id, user_id, event_type from events")
+def stream_ingest_dedup(s, d):
+    return streams.drain(streams.deduplicated(streams.read_events(s, d)).select("event_id", "user_id", "event_type"), "append")
+
+
+@q("select strftime(time_bucket(interval 1 day, ts), '%Y-%m-%d') as day, event_type, count(*) as n from events group by 1, 2")
+def stream_tick_windows(s, d):
+    t = streams.drain(streams.tick_windows(streams.read_events(s, d)), "complete")
+    return t.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+@q()
+def stream_session_activity(s, d):
+    t = streams.drain(streams.sessions(streams.read_events(s, d)), "append")
+    return t.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+@q()
+def preplay_path(s, d):
+    from memloom.operators.preplay import preplay
+
+    return preplay(graph.merge_max(graph.wiring(_engrams(s, d))), _cues(s, d))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
