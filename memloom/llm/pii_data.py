@@ -54,7 +54,7 @@ CUES = re.compile(
     r"@[\w-]+\.|\[at\]|\(at\)|passport|SSN|tax id|insurance|NINO|licence|social security|Steuer-ID|Ausweis|Reisepass|passeport|sécurité|\bDNI\b|\bNIE\b|"
     r"\bFax\b|\bTel\b|Text [+\d(]|Call back|Rückruf|Mobil|Rappeler|Numéro|number left|Llamar|They live|Deliver to|Ship the unit|Billing address|Termin ist|"
     r"Lieferung an|Visite|Livrer|visita|Entregar|Entrega|Assigned to|caller was|Spoke with|put it, the|Thanks to|Freigabe|Gespräch|Lo aprobó|Hablé|Vu avec|Validé|"
-    r"Reply goes|Reach them|bounced|The account|\bcc |Antwort bitte|Das Konto|Responder|La cuenta|Répondre|Le compte|P\.O\.|Court|Terrace|Blvd",
+    r"Enviar|Dejó|signed off|site visit|pasaporte|Filed as|crm|firmó|a signé|Reply goes|Reach them|bounced|The account|\bcc |Antwort bitte|Das Konto|Responder|La cuenta|Répondre|Le compte|P\.O\.|Court|Terrace|Blvd",
     re.I,
 )
 
