@@ -25,7 +25,7 @@ class Store:
 
     def manifest(self) -> dict:
         """The committed version, its tables and the last event in them; version zero for a new store."""
-        p = f"{self.root}/_manifest"
+        p = f"{self.root}/MANIFEST"
         if not self._fs.exists(self._path(p)):
             return {"version": 0, "tables": {}, "seq": 0}
         return json.loads(self.spark.read.text(p, wholetext=True).first()[0])
@@ -37,7 +37,7 @@ class Store:
         for name, df in tables.items():
             names[name] = f"{name}/v{v}"
             df.write.mode("overwrite").parquet(f"{self.root}/{names[name]}")
-        new, old = self._path(f"{self.root}/_manifest.new"), self._path(f"{self.root}/_manifest")
+        new, old = self._path(f"{self.root}/MANIFEST.new"), self._path(f"{self.root}/MANIFEST")
         out = self._fs.create(new, True)
         out.write(bytearray(json.dumps({"version": v, "tables": names, "seq": seq}).encode()))
         out.close()
