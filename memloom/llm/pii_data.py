@@ -158,6 +158,13 @@ def near_miss(r: random.Random) -> str:
     return re.sub(r"\{([dh])(\d+)\}", lambda m: _d(r, int(m[2])) if m[1] == "d" else "".join(r.choice("0123456789abcdef") for _ in range(int(m[2]))), s)
 
 
+def heading(r: random.Random, background: str) -> str:
+    """A heading of words of the background, as in marked-up notes."""
+    ws = [w for w in re.findall(r"[A-Za-z]{3,}", background)] or ["Notes"]
+    t = " ".join(r.choice(ws).capitalize() for _ in range(r.choice((1, 2, 2, 3))))
+    return r.choice([f"\n# {t}\n", f"\n\n## {t}\n", f"\n\n### {t}\n", f"**{t}**", f"{t}\n", f"- {t}:"])
+
+
 def labelled_text(r: random.Random, background: str) -> tuple[str, list[tuple[int, int, str]]]:
     """One text with the spans (start, end, type) of its inserted values."""
     sents = [s for s in re.split(r"(?<=[.!?。])\s+|(?<=\n)", background) if s.strip()] or [""]
@@ -167,6 +174,8 @@ def labelled_text(r: random.Random, background: str) -> tuple[str, list[tuple[in
         parts.insert(r.randint(0, len(parts)), (r.choice(CARRIERS[kind].split("|")), kind, value(r, kind)))
     if r.random() < 0.35:
         parts.insert(r.randint(0, len(parts)), (near_miss(r), None, ""))
+    if r.random() < 0.2:
+        parts.insert(r.randint(0, len(parts)), (heading(r, background), None, ""))
     head = r.choice(["", "", f"job {_d(r, 9)}: ", f"ticket #{_d(r, 9)}: ", "user: ", f'{{"tool": "crm", "ref": "run-{_d(r, 7)}", "note": "'])
     text, spans = head, []
     for s, kind, v in parts:

@@ -37,7 +37,8 @@ def _table() -> np.ndarray:
             t[cp] = 4 + len(PUNCT) + 26 + ord(base) - 65
     for i, ch in enumerate(PUNCT):
         t[ord(ch)] = 4 + i
-    t[0xA0] = t[0x3000] = 4
+    for cp in (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0xA0, 0x2007, 0x202F, 0x3000):
+        t[cp] = 4  # blanks of all kinds are one symbol
     t[ord("ß")] = 4 + len(PUNCT) + 18
     t[0x2E80:0xA000] = CJK
     for cp in range(0xFF01, 0xFF5F):

@@ -33,6 +33,8 @@ def backgrounds(table_dir: str) -> list[str]:
 
 def cased(r: random.Random, s: str) -> str:
     k = r.random()
+    if k > 0.92:
+        return re.sub(" ", lambda _: r.choice([" ", " ", "  ", "\t", "\n", "\u00a0"]), s)
     return s.upper() if k < 0.03 else s.lower() if k < 0.06 else s.title() if k < 0.09 and len(s.title()) == len(s) else s
 
 
@@ -167,7 +169,7 @@ def train(table_dir: str, out: str, seconds: float, start: str | None = None) ->
     tg.p.update(avg)
     seen = np.zeros(1 << BITS, bool)
     for s in bg:
-        for form in (s, s.upper(), s.lower(), s.title()):
+        for form in (s, s.upper(), s.lower(), s.title(), s.replace(" ", "  ")):
             c = codes(form)
             for w in (c,):
                 seen[ngram_hash(w)] = True
