@@ -249,11 +249,11 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", floor: float =
     latent = _project(r, c, v, len(spans), basis)
     latent /= np.maximum(1e-9, np.linalg.norm(latent, axis=1, keepdims=True))
     # words of few items tell them apart; stock wording does not
-    spread = Counter(w for ws in item_words for w in set(ws))
+    items_of = Counter(w for ws in item_words for w in set(ws))
     telling: dict[str, list[int]] = {}
     for k, ws in enumerate(item_words):
         for w in set(ws):
-            if spread[w] <= max(4, len(item_words) // 40):
+            if items_of[w] <= max(4, len(item_words) // 40):
                 telling.setdefault(w, []).append(k)
     matchers = [ItemWords(w) for w in item_words]
     schema = "doc_id long, item_id long, words int, share double, answer boolean"
