@@ -46,15 +46,18 @@ def with_canonical(df: DataFrame, text: str) -> DataFrame:
     return spread(df).withColumn("_c", _canonical_udf()(F.col(text))).select("*", "_c.*").drop("_c")
 
 
-def _with_keys(classes: DataFrame, scope: list[str], df_words: DataFrame | None = None) -> DataFrame:
-    """One row per class and index token; column ``key`` hashes scope, numbers and token."""
+def _with_keys(rows: DataFrame, scope: list[str]) -> DataFrame:
+    """One row per row and index token; column ``key`` hashes scope, numbers and token.
+
+    A row with a long number needs no look at other rows.  Of the others, one
+    per class is kept, and document frequencies over them rank their words.
+    """
     base = [F.col(c) for c in scope] + [F.col("numbers")]
-    strong = classes.filter("strong").withColumn("key", F.xxhash64(*base, F.lit("")))
-    weak = classes.filter("not strong")
+    strong = rows.filter("strong").withColumn("key", F.xxhash64(*base, F.lit("")))
+    firsts = rows.filter("not strong").groupBy("class_id").agg(*[F.min_by(c, "row_id").alias(c) for c in rows.columns if c not in ("class_id", "row_id")], F.min("row_id").alias("row_id"))
+    weak = materialize(firsts.select(*rows.columns), "weak")
     words = weak.select("class_id", F.col("n_words").alias("_n"), F.explode(F.array_distinct(F.split("words", " "))).alias("_w"))
     freq = words.groupBy("_w").agg(F.count(F.lit(1)).alias("_df"))
-    if df_words is not None:
-        freq = freq.join(df_words, "_w", "left").withColumn("_df", F.col("_df") + F.coalesce("_hist", F.lit(0))).select("_w", "_df")
     ranked = words.join(freq, "_w").groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("_df", "_w"))).alias("_ws"), F.first("_n").alias("_n"))
     most = F.greatest(F.lit(6), F.ceil(2 * SLACK * F.col("_n"))).cast("int") + 1
     prefix = ranked.select("class_id", F.explode(F.slice("_ws", 1, most)).alias("_p"))
@@ -62,19 +65,6 @@ def _with_keys(classes: DataFrame, scope: list[str], df_words: DataFrame | None
     return strong.unionByName(weak)
 
 
-def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[bool, pd.DataFrame]]:
-    """Rows of one key at a time; True where the key goes on from the batch before."""
-    last = None
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        k = pdf["key"].to_numpy()
-        cuts = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            yield last is not None and k[a] == last, pdf.iloc[a:b]
-            last = k[a]
-
-
 def _leader_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(class_id, leader) for every class whose text says the same as an earlier leader of its key."""
     leaders: list[tuple[int, list[str]]] = []
@@ -142,6 +132,7 @@ def same_text_groups(rows: DataFrame, id_col: str, text: str, scope: list[str],
     c = with_canonical(rows.select(id_col, *scope, text), text).filter("n_words > 0").drop(text)
     c = materialize(c.withColumn("class_id", F.xxhash64(*scope, "words")), "canon")
     classes = c.groupBy("class_id").agg(*[F.first(x).alias(x) for x in (*scope, "words", "n_words", "numbers", "strong")], F.count(F.lit(1)).alias("copies"))
+    classes = materialize(classes.withColumn("row_id", F.col("class_id")), "classes")
     links = materialize(leader_links(_with_keys(classes, scope), salts).distinct(), "links")
     comp = components(links, "class_id", "leader")
     g = c.select(id_col, "class_id").join(comp, c["class_id"] == comp["node"], "left").select(id_col, F.coalesce("root", "class_id").alias("group_id"))
@@ -174,6 +165,10 @@ def _probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(out, columns=["class_id", "row_id", "first_id"])
 
 
+POSTING = ("key", "class_id", "row_id", "words", "n_words")
+MOST_KEYS = 1_000_000
+
+
 class IncrementalIndex:
     """Inverted index of accepted rows: postings (key, class, smallest row id, words) by index token.
 
@@ -188,11 +183,12 @@ class IncrementalIndex:
         self.parts: list[DataFrame] = []
 
     def _classes(self, rows: DataFrame) -> DataFrame:
-        c = rows.withColumn("class_id", F.xxhash64(*self.scope, "words"))
-        return c.groupBy("class_id").agg(*[F.first(x).alias(x) for x in (*self.scope, "words", "n_words", "numbers", "strong")], F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("copies"))
+        """One row per class of a batch, under its smallest row id."""
+        cols = (*self.scope, "words", "n_words", "numbers", "strong")
+        return rows.groupBy("class_id").agg(*[F.min_by(x, "row_id").alias(x) for x in cols], F.min("row_id").alias("row_id"))
 
     def _append(self, keyed: DataFrame) -> None:
-        self.parts.append(materialize(keyed.select("key", "class_id", "row_id", "words", "n_words").repartition("key").sortWithinPartitions("key"), "postings"))
+        self.parts.append(materialize(keyed.select(*POSTING), "postings"))
 
     def postings(self) -> DataFrame:
         out = self.parts[0]
@@ -200,16 +196,28 @@ class IncrementalIndex:
             out = out.unionByName(p)
         return out
 
+    def _matching(self, keys: DataFrame) -> DataFrame:
+        """Postings under one of ``keys``, one per class and key.
+
+        The key columns meet first; the keys that occur on both sides are
+        broadcast while they are few (MOST_KEYS, checked), so that the words of
+        the history are filtered where they lie and not shuffled.
+        """
+        known = self.postings()
+        both = materialize(known.select("key").join(keys.distinct(), "key", "left_semi").distinct(), "keys")
+        few = both.limit(MOST_KEYS + 1).count() <= MOST_KEYS
+        hits = known.join(F.broadcast(both) if few else both, "key", "left_semi")
+        return hits.groupBy("key", "class_id").agg(F.min("row_id").alias("row_id"), F.first("words").alias("words"), F.first("n_words").alias("n_words"))
+
     def add_history(self, rows: DataFrame) -> None:
-        """rows: row_id, scope columns and canonical columns of what is already accepted."""
-        self._append(_with_keys(self._classes(rows), self.scope))
+        """rows: row_id, scope columns and canonical columns of what is already accepted; canonicalised once, never shuffled whole."""
+        self._append(_with_keys(materialize(rows.withColumn("class_id", F.xxhash64(*self.scope, "words")), "history"), self.scope))
 
     def add_batch(self, rows: DataFrame) -> DataFrame:
         """(first_id, repeat_id) of the batch's repeats; the rest is accepted and indexed."""
         rows = rows.withColumn("class_id", F.xxhash64(*self.scope, "words"))
-        keyed = materialize(_with_keys(self._classes(rows), self.scope).select("key", "class_id", "row_id", "words", "n_words"), "batch")
-        hits = self.postings().join(keyed.select("key").distinct(), "key", "left_semi").withColumn("is_new", F.lit(False))
-        stream = hits.unionByName(keyed.withColumn("is_new", F.lit(True)))
+        keyed = materialize(_with_keys(materialize(self._classes(rows), "classes"), self.scope).select(*POSTING), "batch")
+        stream = self._matching(keyed.select("key")).withColumn("is_new", F.lit(False)).unionByName(keyed.withColumn("is_new", F.lit(True)))
         found = stream.repartition("key").sortWithinPartitions("key", "is_new", "row_id").mapInPandas(_probe, "class_id long, row_id long, first_id long")
         found = materialize(found.groupBy("class_id").agg(F.min("row_id").alias("row_id"), F.min("first_id").alias("first_id")), "found")
         # a match may itself be a repeat found under another token
