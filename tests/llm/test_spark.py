@@ -45,7 +45,7 @@ def test_cut_records(spark):
     rng = random.Random(2)
     full = [f"The {a} {b} lost its lease before dawn. Nobody expected that the {b} stalled again." for a in ("quiet", "noisy", "legacy", "shared") for b in ("edge pruner", "token budget", "sleep cycle", "review lane", "merge train")]
     rows = [("e", str(i), "f", rng.choice(full) + f" See case {i}.") for i in range(400)]
-    rows += [("e", f"cut{i}", "f", (f"case {i}: " + rng.choice(full) + rng.choice(full))[:100]) for i in range(40)]
+    rows += [("e", f"cut{i}", "f", (f"case {i}: " + rng.choice(full) + rng.choice(full))[:77]) for i in range(40)]
     rows += [("e", "dots", "f", "and so it goes for case 7..."), ("e", "dots2", "f", "and so it goes for case 8..."), ("e", "dots3", "f", "and so it goes for case 9...")] + [("e", f"nofs{i}", "f", full[i][:-1]) for i in range(5)]
     rows += [("e", "null", "f", None), ("e", "empty", "f", ""), ("e", "null feed", None, "All is well."), ("e", "again", "f", full[0]), ("e", "again", "f", full[0])]
     r = cut_records(spark.createDataFrame(rows, "rec_kind string, rec_key string, feed string, text string"))
