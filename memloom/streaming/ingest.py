@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memloom.sources.tables import shared_dir
+
 
 def read_events(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
     """A table as a stream of files; event times become zoned timestamps, which watermarks need."""
@@ -15,14 +16,25 @@ def read_events(spark: SparkSession, sf_dir: str, name: str = "events") -> DataF
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drain(stream: DataFrame, mode: str, name: str | None = None, checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over all data available now and return its table."""
-    name = name or f"s_{uuid.uuid4().hex[:12]}"
+def drain(stream: DataFrame, mode: str) -> DataFrame:
+    """Run a stream over all data available now and return its result as a table in the shared folder.
+
+    ``append`` results are the batches together, ``complete`` ones the last
+    batch.  A batch that is run again after a failure overwrites itself.
+    """
     spark = stream.sparkSession
-    where = checkpoint or tempfile.mkdtemp(prefix="memloom-stream-")
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{where}/{name}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    last: list[int] = []
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{at}/out/batch={batch}")
+        last.append(batch)
+
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    path = f"{at}/out" if mode == "append" else f"{at}/out/batch={max(last)}"
+    return spark.read.schema(stream.schema).parquet(path).select(*stream.columns)
 
 
 def deduplicated(events: DataFrame, delay: str = "2 days") -> DataFrame:
