@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,12 +26,12 @@ def snapshot_gate(rows: DataFrame, scope: str = "tenant_id", seq: str = "encoded
 
 def _walk(window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, accepted = None, {}
+        last, accepted, recent = None, {}, deque()
         for pdf in batches:
             out = []
             for scope, rid, free, peers in zip(pdf["scope"], pdf["id"], pdf["free"], pdf["peers"]):
                 if scope != last:
-                    last, accepted, place = scope, {}, 0
+                    last, accepted, recent, place = scope, {}, deque(), 0
                 best = None
                 for p in peers if peers is not None else []:
                     at = accepted.get(p["peer"])
@@ -40,7 +41,10 @@ def _walk(window: int):
                 ok = bool(free) or best is None or not (best[0] >= S.REJECT or (best[0] >= S.REVIEW and max(best[2], 1 - best[0]) < S.MIN_SEPARATION))
                 if ok:
                     accepted[rid] = (place, 1 - (best[0] if best else 0.0))
+                    recent.append(rid)
                     place += 1
+                    if len(recent) > window:
+                        del accepted[recent.popleft()]
                 out.append((rid, best[3] if best else None, best[0] if best else None, ok))
             yield pd.DataFrame(out, columns=["engram_id", "peer", "jaccard", "accepted"])
 
@@ -52,7 +56,7 @@ def ordered_gate(rows: DataFrame, scope: str = "tenant_id", seq: str = "encoded_
 
     The pairs at or over the review limit are found with all earlier rows (a
     superset of any window); a walk in row order over these few pairs decides.
-    Only the walk's own state, accepted ids of one scope, is held by a task.
+    A task holds the last ``window`` accepted ids of one scope.
     """
     near = word_neighbours(rows, scope, seq, window=1 << 30, floor=S.REVIEW).groupBy("id").agg(F.collect_list(F.struct("peer", "jaccard")).alias("peers"))
     free = F.coalesce(F.col("provenance.verified"), F.lit(False)) | F.coalesce(F.col("context").startswith("ledger:"), F.lit(False))

@@ -10,6 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_written: list[str] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,10 +41,26 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     if partition_by:
         w = w.partitionBy(partition_by)
     w.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least one partition per core: a small file read by one task would keep the others idle in Python steps."""
+    """``df`` over at least one partition per core: a small file read by one task would keep the others idle in Python steps.
+
+    Only plain scans are looked at; what comes out of a shuffle is spread already.
+    """
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    if any(x in plan for x in ("Join", "Aggregate", "Exchange", "Window", "Sort")):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables written so far; for sessions that go on after a result was saved. Returns their number."""
+    jvm, n = spark.sparkContext._jvm, 0
+    while _written:
+        p = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True))
+    return n

@@ -193,3 +193,11 @@ def test_stream_ingest_is_idempotent(spark, sf, tmp_path):
     for _ in range(2):
         st.ingest(spark, st.read_events(spark, sf), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_release_deletes_intermediate_tables(spark):
+    from memloom.sources.tables import materialize, release, spread
+
+    d = materialize(spark.range(5).toDF("x"), "five")
+    assert d.count() == 5 and release(spark) >= 1
+    assert spread(spark.range(10).repartition(1)).count() == 10
