@@ -220,7 +220,7 @@ def stretches(item: ItemWords, doc: list[str], gap: int = 12, least: int = 3) ->
     return top
 
 
-def leaks(docs: DataFrame, items: DataFrame, text: str = "text", floor: float = 0.35, rare: int = 3) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, text: str = "text", floor: float = 0.4, rare: int = 2) -> DataFrame:
     """(doc_id, item_id, words, share, answer): documents and the items they leak.
 
     The items are the held-out side and of bounded number (MAX_ITEMS, checked);
