@@ -117,10 +117,13 @@ def spread(seeds: DataFrame, edges: DataFrame, factor: float, hops: int = S.HOPS
     is at or under ACTIVATION_FLOOR fades.
     """
     act = seeds.select("cue_id", "node", "activation")
+    # every source keeps its value by a loop of its own, so a round reads the one before once
+    loops = edges.select("src").distinct().select("src", F.col("src").alias("dst"), F.lit(None).cast("double").alias("weight"))
+    e = edges.select("src", "dst", "weight").unionByName(loops)
     for _ in range(hops):
-        moved = act.join(edges, act["node"] == edges["src"]).select("cue_id", F.col("dst").alias("node"), (F.col("activation") * F.col("weight") * factor).alias("activation"))
-        moved = moved.filter(F.col("activation") > S.MIN_DELTA)
-        act = act.unionByName(moved).groupBy("cue_id", "node").agg(F.sum("activation").alias("activation")).filter(F.col("activation") > S.ACTIVATION_FLOOR)
+        j = act.join(e, act["node"] == e["src"], "left")
+        j = j.select("cue_id", F.coalesce("dst", "node").alias("node"), F.col("weight").isNull().alias("stays"), F.when(F.col("weight").isNull(), F.col("activation")).otherwise(F.col("activation") * F.col("weight") * factor).alias("activation"))
+        act = j.filter(F.col("stays") | (F.col("activation") > S.MIN_DELTA)).groupBy("cue_id", "node").agg(F.sum("activation").alias("activation")).filter(F.col("activation") > S.ACTIVATION_FLOOR)
     return act
 
 

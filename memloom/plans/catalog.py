@@ -12,7 +12,7 @@ from memloom.functions import stages as S
 from memloom.functions.text import cosine, micro, rich_tokens, words
 from memloom.operators import gate, graph, lifecycle, query, recall
 from memloom.sources import fovea
-from memloom.sources.tables import table
+from memloom.sources.tables import materialize, table
 from memloom.streaming import ingest as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -248,7 +248,7 @@ HOP = """ m{0} as (select cue_id, dst as node, activation * weight * 0.21 as a f
 @q(f"with cues as {CUES}, {EDGE_SQL}, e as (select src, dst, max(weight) as weight from raw group by 1, 2), a0 as (select distinct cue_id, unnest(list_distinct({_w('cue')})) as node, 1.0::double as activation from cues),"
    + ",".join(HOP.format(i, i - 1) for i in range(1, 5)) + " select cue_id, count(*) as nodes, floor(sum(activation) * 1000 + 0.5)::bigint as milli from a4 group by 1")
 def spread_activation(s, d):
-    edges = graph.merge_max(graph.wiring(_engrams(s, d)))
+    edges = materialize(graph.merge_max(graph.wiring(_engrams(s, d))), "edges")
     seeds = _cues(s, d).select("cue_id", F.explode(F.array_distinct(words(F.col("cue")))).alias("node")).withColumn("activation", F.lit(1.0))
     a = recall.spread(seeds, edges, S.SPREAD * S.STAGES[2][2])
     return a.groupBy("cue_id").agg(F.count(F.lit(1)).alias("nodes"), F.floor(F.sum("activation") * 1000 + 0.5).cast("long").alias("milli"))
