@@ -3,17 +3,17 @@
 The corpus is cut into overlapping passages of words.  Their TF-IDF matrix
 over hashed words is reduced by a distributed randomised SVD (a few passes in
 which every partition adds its part of a small matrix).  Items are cut alike;
-a passage whose latent vector is near one of an item's, and that shares a
-rare word pair or enough rare words with it, makes the document a candidate
-for the item.  Each candidate is decided by the longest common subsequence
-of the item's words within one or two stretches of the document.
+a passage whose latent vector is near one of an item's makes the document a
+candidate for the item, and so do shared word pairs, stock or not.  Each
+candidate is decided by the longest common subsequence of the item's words
+within one or two stretches of the document; only those that two bounds of
+this decision rule out (``Bounds``) are left out before.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -220,7 +220,46 @@ def stretches(item: ItemWords, doc: list[str], gap: int = 12, least: int = 3) ->
     return top
 
 
-def leaks(docs: DataFrame, items: DataFrame, text: str = "text", floor: float = 0.4, rare: int = 2) -> DataFrame:
+class Bounds:
+    """Items that ``stretches`` can find in a document; no item it would find is left out.
+
+    A stretch holds ``least`` pairs of the item's words, so the document does;
+    and a common subsequence is no longer than the item's words the document has.
+    """
+
+    def __init__(self, items: list[ItemWords], least: int = 3):
+        self.n = len(items)
+        size = np.array([len(m.words) for m in items], np.int64)
+        self.least = np.minimum(least, np.maximum(1, size - 1))
+        self.single, self.need = size == 1, SHARE * size
+        pairs: dict[tuple[str, str], list[int]] = {}
+        having: dict[str, list[tuple[int, int]]] = {}
+        for k, m in enumerate(items):
+            for p in m.pairs:
+                pairs.setdefault(p, []).append(k)
+            for w, mask in m.masks.items():
+                having.setdefault(w, []).append((k, mask.bit_count()))
+        self.pairs = {p: np.array(ks) for p, ks in pairs.items()}
+        self.having = {w: tuple(np.array(x).T) for w, x in having.items()}
+
+    def candidates(self, doc: list[str], near: list[int]) -> list[int]:
+        """Items that ``doc`` shares enough pairs with or is ``near``, and has enough words of."""
+        pairs, having = self.pairs, self.having
+        hits = [pairs[p] for p in zip(doc, doc[1:]) if p in pairs] + [pairs[p] for p in zip(doc, doc[2:]) if p in pairs]
+        count = np.bincount(np.concatenate(hits), minlength=self.n) if hits else np.zeros(self.n, np.int64)
+        chosen = (count >= self.least) | self.single
+        chosen[near] = True
+        if not chosen.any():
+            return []
+        words_of = np.zeros(self.n, np.int64)
+        for w in set(doc):
+            if w in having:
+                k, times = having[w]
+                words_of[k] += times
+        return np.flatnonzero(chosen & (words_of >= self.need)).tolist()
+
+
+def leaks(docs: DataFrame, items: DataFrame, text: str = "text", floor: float = 0.4) -> DataFrame:
     """(doc_id, item_id, words, share, answer): documents and the items they leak.
 
     The items are the held-out side and of bounded number (MAX_ITEMS, checked);
@@ -248,14 +287,8 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", floor: float =
     r, c, v = _rows(np.concatenate(feats), spans, idf)
     latent = _project(r, c, v, len(spans), basis)
     latent /= np.maximum(1e-9, np.linalg.norm(latent, axis=1, keepdims=True))
-    # words of few items tell them apart; stock wording does not
-    items_of = Counter(w for ws in item_words for w in set(ws))
-    telling: dict[str, list[int]] = {}
-    for k, ws in enumerate(item_words):
-        for w in set(ws):
-            if items_of[w] <= max(4, len(item_words) // 40):
-                telling.setdefault(w, []).append(k)
     matchers = [ItemWords(w) for w in item_words]
+    bounds = Bounds(matchers)
     schema = "doc_id long, item_id long, words int, share double, answer boolean"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -279,12 +312,10 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", floor: float =
                 for lo in range(0, len(y), 4096):
                     i, j = np.nonzero(y[lo : lo + 4096] @ latent.T >= floor)
                     cand.update(zip(own_a[lo + i].tolist(), owner[j].tolist()))
-                per: dict[int, Counter] = {}
-                for d, k in sorted(cand):
-                    if d not in per:
-                        per[d] = Counter(x for w in set(docs_w[d]) for x in telling.get(w, ()))
-                    if per[d][k] < rare and len(item_words[k]) > 20:
-                        continue
+                near: dict[int, list[int]] = {}
+                for d, k in cand:
+                    near.setdefault(d, []).append(k)
+                for d, k in ((d, k) for d in range(len(docs_w)) for k in bounds.candidates(docs_w[d], near.get(d, []))):
                     n = stretches(matchers[k], docs_w[d])
                     if n >= SHARE * len(item_words[k]):
                         tail = item_words[k][-10:]

@@ -196,6 +196,16 @@ def test_leaks_edges(spark, sf):
     assert leaks(docs, items.limit(0)).count() == 0 and leaks(docs.limit(0), items).count() == 0
 
 
+def test_leaks_of_stock_words(spark):
+    # no word is in few items, so only their order tells the items apart
+    rng = np.random.default_rng(5)
+    stock = [f"stock{i}" for i in range(30)]
+    texts = [[stock[j] for j in rng.permutation(30)] for _ in range(40)]
+    items = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, " ".join([f"own{k}_{i}" for i in range(60)] + texts[k][8:22] + [f"end{k}_{i}" for i in range(60)])) for k in range(5)], "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in leaks(docs, items).collect()} >= {(k, k) for k in range(5)}
+
+
 def test_mix(spark):
     rows = [(i, f"text number {i} " + "words " * (i % 7 + 3), ("A " if i % 3 else "b") if i < 90 else "c") for i in range(100)] + [(200, "shared text in two places", "a"), (201, "shared text in two places", "b"), (300, None, "a"), (301, "", "a"), (302, "no source", None), (0, "text number 0 words words words ", "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
