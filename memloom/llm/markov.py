@@ -71,12 +71,14 @@ def _link(floor: float, dim: int):
             dst: list = []
             cos: list = []
             sure: list = []
+            met: list = []
 
             def emit(i: np.ndarray, others, s: np.ndarray, e: np.ndarray) -> None:
                 src.append(row[i])
                 dst.append(np.asarray(others, np.int64))
                 cos.append(s)
                 sure.append(s - e >= floor)
+                met.append(keys[i])
 
             for a, b in zip(cuts[:-1], cuts[1:]):
                 if keys[a] != last:
@@ -122,7 +124,7 @@ def _link(floor: float, dim: int):
                     ids = [*ids, *row[left]]
                     lead, lerr = np.concatenate([lead, c[left]]), np.concatenate([lerr, err[left]])
             if src:
-                yield pd.DataFrame({"src": np.concatenate(src), "dst": np.concatenate(dst), "cosine": np.concatenate(cos).astype(float), "sure": np.concatenate(sure)})
+                yield pd.DataFrame({"src": np.concatenate(src), "dst": np.concatenate(dst), "cosine": np.concatenate(cos).astype(float), "sure": np.concatenate(sure), "key": np.concatenate(met)})
 
     return run
 
@@ -133,20 +135,22 @@ def similarity_graph(vectors: DataFrame, floor: float, tables: int = 12, dim: in
     Links whose int8 product lies within its error bound of the floor are
     decided in float.  Buckets hold about rows / 128^rounds vectors; the number
     of rounds follows the number of rows, and with three of them twice as many
-    tables keep the chance to miss a link.  Above a million rows a bucket is
-    spread over tasks first and only its leaders meet again.
+    tables keep the chance to miss a link.  From two million rows a bucket is
+    spread over tasks first; the leaders of its parts, whatever links they
+    have in other tables, meet again in the whole bucket.
     """
     n = vectors.count() if rows is None else rows
     rounds, tables = (2, tables) if n <= 4_000_000 else (3, 2 * tables)
     salts = max(1, n // 1_000_000)
-    schema = "src long, dst long, cosine double, sure boolean"
+    schema = "src long, dst long, cosine double, sure boolean, key long"
     b = bucketed(vectors, tables, rounds, dim)
     if salts > 1:
         b = materialize(b, "buckets")
-        s = b.withColumn("key", F.xxhash64("key", F.pmod("id", F.lit(salts))))
-        first = materialize(s.repartition("key").sortWithinPartitions("key", "rank").mapInPandas(_link(floor, dim), schema), "links")
-        hits = first.select(F.col("src").alias("id")).distinct()
-        links = first.unionByName(b.join(hits, "id", "left_anti").repartition("key").sortWithinPartitions("key", "rank").mapInPandas(_link(floor, dim), schema))
+        s = b.withColumn("bucket", F.col("key")).withColumn("key", F.xxhash64("key", F.pmod("id", F.lit(salts))))
+        first = materialize(s.drop("bucket").repartition("key").sortWithinPartitions("key", "rank").mapInPandas(_link(floor, dim), schema), "links")
+        linked = first.select("key", F.col("src").alias("id")).distinct()
+        leaders = s.join(linked, ["key", "id"], "left_anti").withColumn("key", F.col("bucket")).select(b.columns)
+        links = first.unionByName(leaders.repartition("key").sortWithinPartitions("key", "rank").mapInPandas(_link(floor, dim), schema))
     else:
         links = b.repartition("key").sortWithinPartitions("key", "rank").mapInPandas(_link(floor, dim), schema)
     links = materialize(links.groupBy("src", "dst").agg(F.max("cosine").alias("cosine"), F.max("sure").alias("sure")), "links")

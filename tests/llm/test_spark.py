@@ -179,6 +179,21 @@ def test_top_similar_against_brute_force(spark, floor, block):
     assert similar_pairs(t).count() == len({tuple(sorted(p)) for p in want})
 
 
+def clouds(n, size, cosine, seed):
+    """(id, vec) of n groups of ``size`` vectors of about this cosine to each other."""
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    centre = np.repeat(unit(rng.normal(size=(n, 64))), size, 0)
+    v = unit(np.sqrt(cosine) * centre + np.sqrt(1 - cosine) * unit(rng.normal(size=centre.shape)))
+    return [(i, x.astype("<f4").tobytes()) for i, x in enumerate(v)]
+
+
+def test_graph_salted_keeps_groups_whole(spark):
+    df = spark.createDataFrame(clouds(120, 20, 0.87, 3), "id long, vec binary").cache()
+    r = clusters(similarity_graph(df, 0.8, rows=2_000_000)).groupBy((F.col("id") / 20).cast("int").alias("g")).agg(F.countDistinct("cluster").alias("n"), F.count(F.lit(1)).alias("rows"))
+    assert {(x["n"], x["rows"]) for x in r.collect()} == {(1, 20)}
+
+
 # -- p7, p8, p9, p10 -----------------------------------------------------------------------
 def test_find_pii_edges(spark):
     rows = [(1, "Assigned to Anna Berg for review. Call back on 030 23125 199."), (2, None), (3, ""), (4, "x" * 100_000), (1, "Assigned to Anna Berg for review. Call back on 030 23125 199.")]
