@@ -66,7 +66,8 @@ def _link(floor: float, dim: int):
             row = pdf["id"].to_numpy()
             c = np.frombuffer(b"".join(bytes(x) for x in pdf["code"]), np.int8).reshape(-1, dim).astype(np.float32) * pdf["step"].to_numpy()[:, None]
             err = pdf["err"].to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+            # a long bucket goes in slices; the next slice meets the leaders of those before
+            cuts = np.unique(np.concatenate([np.arange(0, len(keys), 1024), np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]))
             src: list = []
             dst: list = []
             cos: list = []
@@ -94,7 +95,7 @@ def _link(floor: float, dim: int):
                     if len(i):
                         emit(a + i, np.asarray(ids)[j], s[i, j], e[i, j])
                         left = np.delete(left, np.unique(i))
-                if len(left) and len(left) <= 1024:
+                if len(left):
                     g = c[left] @ c[left].T
                     e = err[left][:, None] * (1 + err[left][None]) + err[left][None]
                     near = g + e >= floor
@@ -108,18 +109,6 @@ def _link(floor: float, dim: int):
                                 free[hit] = False
                             new.append(x)
                     left = left[new]
-                else:
-                    new = []
-                    while len(left):
-                        x, rest = left[0], left[1:]
-                        s = c[rest] @ c[x]
-                        e = err[rest] * (1 + err[x]) + err[x]
-                        hit = s + e >= floor
-                        if hit.any():
-                            emit(rest[hit], np.full(int(hit.sum()), row[x]), s[hit], e[hit])
-                        new.append(x)
-                        left = rest[~hit]
-                    left = np.asarray(new, int)
                 if len(left):
                     ids = [*ids, *row[left]]
                     lead, lerr = np.concatenate([lead, c[left]]), np.concatenate([lerr, err[left]])
@@ -129,18 +118,17 @@ def _link(floor: float, dim: int):
     return run
 
 
-def similarity_graph(vectors: DataFrame, floor: float, tables: int = 12, dim: int = 64, rows: int | None = None) -> DataFrame:
+def similarity_graph(vectors: DataFrame, floor: float, tables: int = 12, dim: int = 64, rows: int | None = None, rounds: int = 2) -> DataFrame:
     """(src, dst, cosine): links of cosine ``floor`` or more to leaders of lower rank.
 
     Links whose int8 product lies within its error bound of the floor are
-    decided in float.  Buckets hold about rows / 128^rounds vectors; the number
-    of rounds follows the number of rows, and with three of them twice as many
-    tables keep the chance to miss a link.  From two million rows a bucket is
-    spread over tasks first; the leaders of its parts, whatever links they
-    have in other tables, meet again in the whole bucket.
+    decided in float.  Rounds and tables are the same at every size, and so is
+    the chance of a pair to meet; buckets hold about rows / 128^rounds
+    vectors.  From two million rows a bucket is spread over tasks first; the
+    leaders of its parts, whatever links they have in other tables, meet again
+    in the whole bucket.
     """
     n = vectors.count() if rows is None else rows
-    rounds, tables = (2, tables) if n <= 4_000_000 else (3, 2 * tables)
     salts = max(1, n // 1_000_000)
     schema = "src long, dst long, cosine double, sure boolean, key long"
     b = bucketed(vectors, tables, rounds, dim)
@@ -257,6 +245,94 @@ def cliques(members: DataFrame, vectors: DataFrame, floor: float, least: int = 5
     return sums.select("cluster", "size").join(bad, "cluster", "left_anti")
 
 
+def outside_links(members: DataFrame, closed: DataFrame, vectors: DataFrame, floor: float, dim: int = 64, block_rows: int = 65_536) -> DataFrame:
+    """(id, cluster, cosine): vectors outside a cluster of ``closed`` (cluster) of cosine ``floor`` or more to one of its members.
+
+    Exact: a vector that near to a member lies within the angle of ``floor``
+    plus that of the farthest member from the mean direction, so all vectors
+    are compared with all means, ``block_rows`` of them at a time, and those
+    within that angle with the members.
+    """
+    mv = materialize(members.join(closed.select("cluster"), "cluster", "left_semi").select("id", "cluster").join(vectors, "id"), "closed")
+    own = vectors.join(members.select("id", F.col("cluster").alias("own")), "id", "left")
+    own = materialize(own.withColumn("own", F.coalesce("own", "id")), "owned")
+
+    def part_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                u, inv = np.unique(pdf["cluster"].to_numpy(), return_inverse=True)
+                s = np.zeros((len(u), dim))
+                np.add.at(s, inv, matrix(pdf["vec"], dim).astype(np.float64))
+                yield pd.DataFrame({"cluster": u, "s": list(s)})
+
+    means = mv.mapInPandas(part_sums, "cluster long, s array<double>").groupBy("cluster").agg(F.array(*[F.sum(F.col("s")[i]) for i in range(dim)]).alias("mean"))
+
+    @F.pandas_udf("double")
+    def to_mean(v: pd.Series, mean: pd.Series) -> pd.Series:
+        if not len(v):
+            return pd.Series([], dtype=float)
+        m = np.stack(mean.to_numpy())
+        return pd.Series(np.einsum("ij,ij->i", matrix(v, dim).astype(np.float64), m) / np.maximum(1e-12, np.linalg.norm(m, axis=1)))
+
+    means = materialize(means, "means")
+    reps = materialize(mv.join(means, "cluster").select("cluster", to_mean("vec", "mean").alias("c")).groupBy("cluster").agg(F.min("c").alias("c")).join(means, "cluster"), "representatives")
+    blocks = -(-reps.count() // block_rows)
+
+    def near_means(ids: np.ndarray, m: np.ndarray, limit: np.ndarray):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                v, mine = matrix(pdf["vec"], dim), pdf["own"].to_numpy()
+                for lo in range(0, len(ids), 2048):
+                    i, j = np.nonzero(v @ m[lo : lo + 2048].T >= limit[lo : lo + 2048])
+                    i, j = i[mine[i] != ids[lo + j]], j[mine[i] != ids[lo + j]]
+                    yield pd.DataFrame({"id": pdf["id"].to_numpy()[i], "cluster": ids[lo + j]})
+
+        return run
+
+    found = None
+    for b in range(blocks):
+        rows = reps.filter(F.pmod(F.xxhash64("cluster"), F.lit(blocks)) == b).collect()
+        m = np.array([r["mean"] for r in rows], np.float64).reshape(-1, dim)
+        m = (m / np.maximum(1e-12, np.linalg.norm(m, axis=1, keepdims=True))).astype(np.float32)
+        widest = np.arccos(floor) + np.arccos(np.clip([r["c"] for r in rows], -1, 1)) + 1e-3
+        part = own.mapInPandas(near_means(np.array([r["cluster"] for r in rows], np.int64), m, np.cos(np.minimum(widest, np.pi)).astype(np.float32)), "id long, cluster long")
+        part = materialize(part, "near_means")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return members.select("id", "cluster", F.lit(1.0).alias("cosine")).limit(0)
+
+    @F.pandas_udf("double")
+    def exact(v: pd.Series, w: pd.Series) -> pd.Series:
+        return pd.Series(np.einsum("ij,ij->i", matrix(v, dim).astype(np.float64), matrix(w, dim).astype(np.float64)) if len(v) else [], dtype=float)
+
+    pairs = found.join(vectors, "id").join(mv.select("cluster", F.col("vec").alias("member")), "cluster")
+    return pairs.select("id", "cluster", exact("vec", "member").alias("cosine")).groupBy("id", "cluster").agg(F.max("cosine").alias("cosine")).filter(F.col("cosine") >= floor)
+
+
+def closed_cliques(members: DataFrame, vectors: DataFrame, floor: float, least: int = 5, dim: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(members, sizes): clusters joined by the links the hash tables missed, and their cliques of ``least`` or more.
+
+    Cliques of two or more, also those too small to report, are compared with
+    all vectors; what is near to one joins it, until nothing outside is near.
+    A cluster that is no clique stays none whatever joins it.  A group of
+    which no two vectors met in any table is the one thing not seen.
+    """
+    check = sizes = cliques(members, vectors, floor, 2, dim)
+    while True:
+        links = materialize(outside_links(members, check, vectors, floor, dim), "outside")
+        if links.isEmpty():
+            return members, sizes.filter(F.col("size") >= least)
+        own = links.select("id", F.col("cluster").alias("to")).join(members.select("id", "cluster"), "id", "left")
+        # a vector alone is a cluster of its own, named by its id as all are by a member's
+        ends = own.select(F.coalesce("cluster", "id").alias("a"), F.col("to").alias("b")).distinct()
+        comp = materialize(components(ends), "joined")
+        alone = own.filter("cluster is null").select("id", F.col("id").alias("cluster"), F.col("id").alias("attractor"), F.lit(0.0).alias("flow")).distinct()
+        grown = members.unionByName(alone).join(comp, F.col("cluster") == F.col("node"), "left")
+        members = materialize(grown.select("id", F.coalesce("root", "cluster").alias("cluster"), "attractor", "flow"), "clusters")
+        sizes = materialize(cliques(members, vectors, floor, 2, dim), "cliques")
+        check = sizes.join(comp.select(F.col("root").alias("cluster")).distinct(), "cluster", "left_semi")
+
+
 def describe(members: DataFrame, sizes: DataFrame, vectors: DataFrame, cortex: DataFrame, typical: int = 3, dim: int = 64, most_lives: int = 100_000) -> DataFrame:
     """(cluster_first_id, size, typical_ids, life_id, life_cosine): the ``typical`` members of strongest flow and the nearest usable centroid.
 

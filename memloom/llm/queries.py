@@ -79,12 +79,12 @@ def _episode_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _p4_clusters(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    from memloom.llm.markov import cliques, clusters, similarity_graph
+    from memloom.llm.markov import closed_cliques, clusters, similarity_graph
     from memloom.sources.tables import materialize
 
     v = _episode_vectors(spark, sf)
     members = materialize(clusters(similarity_graph(v, 0.8)), "clusters")
-    return v, members, cliques(members, v, 0.8)
+    return v, *closed_cliques(members, v, 0.8)
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:

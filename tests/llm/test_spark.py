@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from memloom.llm import queries as Q
 from memloom.llm.dedupe import batch_repeats, components, same_text_groups
 from memloom.llm.leakage import leaks
-from memloom.llm.markov import cliques, clusters, similarity_graph
+from memloom.llm.markov import cliques, closed_cliques, clusters, similarity_graph
 from memloom.llm.mixing import mix
 from memloom.llm.pii import find_pii
 from memloom.llm.spam import spam_pages
@@ -194,6 +194,27 @@ def test_graph_salted_keeps_groups_whole(spark):
     assert {(x["n"], x["rows"]) for x in r.collect()} == {(1, 20)}
 
 
+def test_closed_cliques_see_what_tables_missed(spark):
+    # 40 groups of six at .9 with a vector outside near one member only, and 40 groups of five at .85
+    rows, rng = clouds(40, 6, 0.9, 4), np.random.default_rng(8)
+    v = np.stack([np.frombuffer(b, "<f4") for _, b in rows]).reshape(40, 6, 64).astype(float)
+    for g in range(40):
+        m, away = v[g, 0], v[g, 0] - v[g, 1:].mean(0)
+        side = away - (away @ m) * m + 0.3 * rng.normal(size=64)
+        side -= (side @ m) * m
+        x = 0.81 * m + np.sqrt(1 - 0.81**2) * side / np.linalg.norm(side)
+        rows.append((1000 + g, x.astype("<f4").tobytes()))
+    rows += [(2000 + i, b) for i, b in clouds(40, 5, 0.85, 9)]
+    x = np.stack([np.frombuffer(b, "<f4") for _, b in rows]).astype(float)
+    ids, near = np.array([i for i, _ in rows]), x @ x.T >= 0.8
+    want = {(int(ids[n].min()), int(i)) for i, n in zip(ids, near) if n.sum() >= 5 and (near[n] == n).all()}
+    df = spark.createDataFrame(rows, "id long, vec binary").cache()
+    members, sizes = closed_cliques(clusters(similarity_graph(df, 0.8, rows=5_000_000)), df, 0.8)
+    m = members.join(sizes, "cluster")
+    r = m.join(m.groupBy("cluster").agg(F.min("id").alias("first")), "cluster")
+    assert {(x["first"], x["id"]) for x in r.collect()} == want and want
+
+
 # -- p7, p8, p9, p10 -----------------------------------------------------------------------
 def test_find_pii_edges(spark):
     rows = [(1, "Assigned to Anna Berg for review. Call back on 030 23125 199."), (2, None), (3, ""), (4, "x" * 100_000), (1, "Assigned to Anna Berg for review. Call back on 030 23125 199.")]
