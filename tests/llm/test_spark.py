@@ -179,7 +179,7 @@ def test_top_similar_against_brute_force(spark, floor, block):
     assert similar_pairs(t).count() == len({tuple(sorted(p)) for p in want})
 
 
-def clouds(n, size, cosine, seed):
+def even_groups(n, size, cosine, seed):
     """(id, vec) of n groups of ``size`` vectors of about this cosine to each other."""
     rng = np.random.default_rng(seed)
     unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
@@ -189,14 +189,14 @@ def clouds(n, size, cosine, seed):
 
 
 def test_graph_salted_keeps_groups_whole(spark):
-    df = spark.createDataFrame(clouds(120, 20, 0.87, 3), "id long, vec binary").cache()
+    df = spark.createDataFrame(even_groups(120, 20, 0.87, 3), "id long, vec binary").cache()
     r = clusters(similarity_graph(df, 0.8, rows=2_000_000)).groupBy((F.col("id") / 20).cast("int").alias("g")).agg(F.countDistinct("cluster").alias("n"), F.count(F.lit(1)).alias("rows"))
     assert {(x["n"], x["rows"]) for x in r.collect()} == {(1, 20)}
 
 
 def test_closed_cliques_see_what_tables_missed(spark):
     # 40 groups of six at .9 with a vector outside near one member only, and 40 groups of five at .85
-    rows, rng = clouds(40, 6, 0.9, 4), np.random.default_rng(8)
+    rows, rng = even_groups(40, 6, 0.9, 4), np.random.default_rng(8)
     v = np.stack([np.frombuffer(b, "<f4") for _, b in rows]).reshape(40, 6, 64).astype(float)
     for g in range(40):
         m, away = v[g, 0], v[g, 0] - v[g, 1:].mean(0)
@@ -204,7 +204,7 @@ def test_closed_cliques_see_what_tables_missed(spark):
         side -= (side @ m) * m
         x = 0.81 * m + np.sqrt(1 - 0.81**2) * side / np.linalg.norm(side)
         rows.append((1000 + g, x.astype("<f4").tobytes()))
-    rows += [(2000 + i, b) for i, b in clouds(40, 5, 0.85, 9)]
+    rows += [(2000 + i, b) for i, b in even_groups(40, 5, 0.85, 9)]
     x = np.stack([np.frombuffer(b, "<f4") for _, b in rows]).astype(float)
     ids, near = np.array([i for i, _ in rows]), x @ x.T >= 0.8
     want = {(int(ids[n].min()), int(i)) for i, n in zip(ids, near) if n.sum() >= 5 and (near[n] == n).all()}
