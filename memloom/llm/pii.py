@@ -1,9 +1,7 @@
 """Personal information in free text: found by the character tagger, replaced by typed placeholders.
 
-A text is cut into overlapping windows.  The n-grams of a window are first
-held against those of the training text that is free of personal data; a
-window all of whose n-grams occur there is plain.  The others are decoded by
-the bidirectional LSTM with CRF transitions.  Where windows overlap, each
+Every character of every text is read by the bidirectional LSTM.  Texts longer
+than a window are cut into overlapping ones; where windows overlap, each
 position takes the tag of the window in which it lies deeper, and spans are
 read off the reconciled tags of the whole text.
 """
@@ -19,30 +17,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memloom.sources.tables import spread
-from memloom.llm.pii_model import NGRAM, Tagger, codes, spans_of
+from memloom.llm.pii_model import Tagger, codes, spans_of
 
-WINDOW, CONTEXT, BATCH = 256, 64, 1024
+WINDOW, CONTEXT, CELLS = 1024, 64, 240_000
 INVISIBLE = re.compile("[­​-‏⁠﻿]")
 
 
-def windows(n: int, novel: np.ndarray) -> list[tuple[int, int]]:
-    """Windows of at most WINDOW characters that cover every novel position with CONTEXT characters about it."""
-    if not len(novel):
-        return []
-    out: list[list[int]] = []
-    for p in novel.tolist():
-        a, b = max(0, p - CONTEXT), min(n, p + NGRAM + CONTEXT)
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    cut = []
-    for a, b in out:
-        while b - a > WINDOW:
-            cut.append((a, a + WINDOW))
-            a += WINDOW - 2 * CONTEXT
-        cut.append((a, b))
-    return cut
+def windows(n: int) -> list[tuple[int, int]]:
+    """Windows of at most WINDOW characters that cover a text of ``n``, neighbours sharing 2 * CONTEXT."""
+    out, a = [], 0
+    while n - a > WINDOW:
+        out.append((a, a + WINDOW))
+        a += WINDOW - 2 * CONTEXT
+    return [*out, (a, n)] if n else []
 
 
 def _valid(kind: str, s: str) -> bool:
@@ -63,42 +50,32 @@ def _valid(kind: str, s: str) -> bool:
 def find_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, str]]]:
     """Spans (start, end, type) of every text."""
     coded = [codes(t) for t in texts]
-    jobs: list[tuple[int, int, int]] = []
-    lens = np.array([len(c) for c in coded])
-    flat = np.concatenate([np.concatenate([c, np.zeros(NGRAM, np.uint8)]) for c in coded]) if len(coded) else np.zeros(0, np.uint8)
-    offsets = np.concatenate([[0], np.cumsum(lens + NGRAM)])
-    if len(flat) >= NGRAM:
-        pos = tagger.novel(flat)
-        owner = np.searchsorted(offsets, pos, "right") - 1
-        local = pos - offsets[owner]
-        ok = local + NGRAM <= lens[owner]
-        owner, local = owner[ok], local[ok]
-        cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
-        for i in np.unique(owner).tolist():
-            jobs += [(i, a, b) for a, b in windows(int(lens[i]), local[cuts[i] : cuts[i + 1]])]
+    jobs = sorted(((i, a, b) for i, c in enumerate(coded) for a, b in windows(len(c))), key=lambda j: j[2] - j[1])
+    paths: list[np.ndarray] = []
+    lo = 0
+    while lo < len(jobs):
+        # windows of like length together, CELLS characters at a time
+        hi = lo + 1
+        while hi < len(jobs) and (hi - lo + 1) * (jobs[hi][2] - jobs[hi][1]) <= CELLS:
+            hi += 1
+        n = np.array([b - a for _, a, b in jobs[lo:hi]])
+        X = np.zeros((hi - lo, int(n.max())), np.uint8)
+        for k, (i, a, b) in enumerate(jobs[lo:hi]):
+            X[k, : b - a] = coded[i][a:b]
+        paths += tagger.viterbi(tagger.emissions(np.ascontiguousarray(X.T), n), n)
+        lo = hi
     tags: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    jobs.sort(key=lambda j: j[2] - j[1])
-    for lo in range(0, len(jobs), BATCH):
-        part = jobs[lo : lo + BATCH]
-        n = np.array([b - a for _, a, b in part])
-        X, M = np.zeros((int(n.max()), len(part)), np.uint8), np.zeros((int(n.max()), len(part)), np.float32)
-        for k, (i, a, b) in enumerate(part):
-            X[: b - a, k], M[: b - a, k] = coded[i][a:b], 1
-        em = tagger.emissions(X, M)
-        # a window in which every tag but O is far below O needs no decoding
-        far = (em[:, :, 1:].max(2) - em[:, :, 0]) * M - (1 - M) * 9
-        live = np.flatnonzero(far.max(0) > -6)
-        paths = dict(zip(live.tolist(), tagger.viterbi(em[:, live], n[live]))) if len(live) else {}
-        for k, (i, a, b) in enumerate(part):
-            if k not in paths:
-                continue
-            if i not in tags:
-                tags[i] = (np.zeros(len(coded[i]), np.int8), np.full(len(coded[i]), -1, np.int32))
-            t, depth = tags[i]
-            x = np.arange(b - a)
-            d = np.minimum(x if a else x + WINDOW, (b - a - 1 - x) if b < len(coded[i]) else WINDOW + x[::-1]).astype(np.int32)
-            deeper = d > depth[a:b]
-            t[a:b][deeper], depth[a:b][deeper] = paths[k][deeper], d[deeper]
+    for (i, _, _), path in zip(jobs, paths):
+        if i not in tags and path.any():
+            tags[i] = (np.zeros(len(coded[i]), np.int8), np.full(len(coded[i]), -1, np.int32))
+    for (i, a, b), path in zip(jobs, paths):
+        if i not in tags:
+            continue
+        t, depth = tags[i]
+        x = np.arange(b - a)
+        d = np.minimum(x if a else x + WINDOW, (b - a - 1 - x) if b < len(coded[i]) else WINDOW + x[::-1]).astype(np.int32)
+        deeper = d > depth[a:b]
+        t[a:b][deeper], depth[a:b][deeper] = path[deeper], d[deeper]
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     for i, (t, _) in tags.items():
         got = []

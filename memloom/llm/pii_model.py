@@ -20,7 +20,6 @@ TAGS = ("O", *(f"{p}-{t}" for t in TYPES for p in "BI"))
 PUNCT = " \n\t.,:;-_+/()[]<>@#'\"&=*|!?%$\\{}`~^"
 PAD, DIGIT, OTHER, CJK = 0, 1, 2, 3
 N_SYMBOLS = 4 + len(PUNCT) + 52
-NGRAM, BITS = 5, 22
 
 
 def _table() -> np.ndarray:
@@ -55,25 +54,10 @@ def codes(text: str) -> np.ndarray:
     return CLASSES[np.minimum(cp, 65536)]
 
 
-def ngram_hash(c: np.ndarray) -> np.ndarray:
-    """Hash of the NGRAM symbols that begin at each position but the last NGRAM-1."""
-    h = np.zeros(max(0, len(c) - NGRAM + 1), np.uint64)
-    for k in range(NGRAM):
-        h = h * np.uint64(131) + c[k : len(h) + k].astype(np.uint64) + np.uint64(1)
-    h *= np.uint64(0x9E3779B97F4A7C15)
-    return (h >> np.uint64(64 - BITS)).astype(np.int64)
-
-
-def hsig(x):
-    return np.clip(x * 0.25 + 0.5, 0.0, 1.0)
-
-
 class Tagger:
     def __init__(self, p: dict[str, np.ndarray]):
         self.p = {k: v for k, v in p.items()}
         self.h = self.p["Uf"].shape[0]
-        if "seen" in p:
-            self.seen = np.unpackbits(p["seen"]).astype(bool)
 
     @classmethod
     def load(cls, path: Path = MODEL) -> "Tagger":
@@ -107,40 +91,69 @@ class Tagger:
             hp, cp = hn, c
         return hs
 
-    def emissions(self, X: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        f, b = self._run(X, mask, "f"), self._run(X, mask, "b")
+    def _states(self, X: np.ndarray, alive: np.ndarray, d: str) -> np.ndarray:
+        """The states of ``_run`` for decoding: gates apart, buffers reused. ``alive``: columns (sorted by length) that reach each step."""
+        T, B = X.shape
         h = self.h
-        return f @ self.p["V"][:h] + b @ self.p["V"][h:] + self.p["vb"]
+        scale = np.array([0.25, 0.25, 0.25, 1], np.float32)[:, None, None]
+        shift = np.array([0.5, 0.5, 0.5, 0], np.float32)[:, None, None]
+        E = np.ascontiguousarray(self.p["E" + d].reshape(-1, 4, h).transpose(1, 0, 2) * scale + shift)
+        U = np.ascontiguousarray(self.p["U" + d].reshape(h, 4, h).transpose(1, 0, 2) * scale)
+        hs = np.zeros((T, B, h), np.float32)
+        hp, c, tmp = np.zeros((B, h), np.float32), np.zeros((B, h), np.float32), np.empty((B, h), np.float32)
+        z, m = np.empty((4, B, h), np.float32), np.empty((4, B, h), np.float32)
+        for t in range(T) if d == "f" else range(T - 1, -1, -1):
+            k = alive[t]
+            x = X[t, k:]
+            for g in range(4):
+                np.take(E[g], x, axis=0, out=z[g, k:], mode="clip")
+            zk, ck, tk = z[:, k:], c[k:], tmp[k:]
+            np.matmul(hp[k:], U, out=m[:, k:])
+            zk += m[:, k:]
+            np.maximum(zk[:3], 0, out=zk[:3])
+            np.maximum(zk[3], -1, out=zk[3])
+            np.minimum(zk, 1, out=zk)
+            ck *= zk[1]
+            np.multiply(zk[0], zk[3], out=tk)
+            ck += tk
+            np.minimum(ck, 1, out=tk)
+            np.maximum(tk, -1, out=tk)
+            hp = hs[t]
+            np.multiply(zk[2], tk, out=hp[k:])
+        return hs
+
+    def emissions(self, X: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """(T, K, B) of symbols X whose columns are sorted by length, shortest first."""
+        alive = np.searchsorted(lens, np.arange(len(X)), "right")
+        X = X.astype(np.intp)
+        f, b = self._states(X, alive, "f"), self._states(X, alive, "b")
+        V = self.p["V"].T
+        out = np.matmul(V[:, : self.h], f.transpose(0, 2, 1))
+        out += np.matmul(V[:, self.h :], b.transpose(0, 2, 1))
+        out += self.p["vb"][:, None]
+        return out
 
     # -- decoding ------------------------------------------------------------
     def viterbi(self, em: np.ndarray, lens: np.ndarray) -> list[np.ndarray]:
-        """em (T, B, K); best tag sequence of each column."""
-        T, B, K = em.shape
+        """em (T, K, B); best tag sequence of each column.  The way back is found again from the kept scores."""
+        T, K, B = em.shape
         A = self.p["A"]
-        score = em[0] + self.p["start"]
-        back = np.zeros((T, B, K), np.int8)
+        scores = np.empty((T, K, B), np.float32)
+        scores[0] = em[0] + self.p["start"][:, None]
+        s = np.empty((K, K, B), np.float32)
         for t in range(1, T):
-            s = score[:, :, None] + A[None]
-            best = s.argmax(1)
-            nxt = np.take_along_axis(s, best[:, None, :], 1)[:, 0] + em[t]
-            live = (t < lens)[:, None]
-            score = np.where(live, nxt, score)
-            back[t] = best
-        out = []
-        last = score.argmax(1)
-        for j in range(B):
-            n = int(lens[j])
-            path = np.zeros(n, np.int8)
-            k = int(last[j])
-            for t in range(n - 1, -1, -1):
-                path[t] = k
-                k = int(back[t, j, k])
-            out.append(path)
-        return out
-
-    def novel(self, c: np.ndarray) -> np.ndarray:
-        """Positions whose n-gram never occurred in the training text free of personal data."""
-        return np.flatnonzero(~self.seen[ngram_hash(c)])
+            np.add(scores[t - 1][:, None, :], A[:, :, None], out=s)
+            s.max(0, out=scores[t])
+            scores[t] += em[t]
+        paths = np.zeros((T, B), np.int8)
+        last = lens - 1
+        tag = np.zeros(B, np.int64)
+        for t in range(T - 1, -1, -1):
+            ends = last == t
+            best = (scores[t] + A[:, tag]).argmax(0) if not ends.all() else None
+            tag = scores[t].argmax(0) if best is None else np.where(ends, scores[t].argmax(0), best) if ends.any() else best
+            paths[t] = tag
+        return [paths[: int(n), j] for j, n in enumerate(lens)]
 
 
 def spans_of(path: np.ndarray) -> list[tuple[int, int, str]]:

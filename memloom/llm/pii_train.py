@@ -1,13 +1,18 @@
-"""Trains the tagger: ``python -m memloom.llm.pii_train TABLE_DIR OUT.npz [SECONDS [START.npz]]``.
-
-Adam on the CRF likelihood with back-propagation through time, all in numpy.
-The carrier texts are at most MAX_ROWS rows of the tables, the documented
-bound of the labelled sample; the screening set of n-grams is filled from the
-same rows.
+"""Trains the tagger: ``python -m memloom.llm.pii_train LABELS.jsonl OUT.npz SECONDS [START.npz]``.
+
+Adam on the CRF likelihood with back-propagation through time, all in numpy,
+by one process per core whose parameters are averaged after every few steps.
+LABELS holds at most MAX_ROWS lines [text, [[start, end, type], ...]], the
+documented bound of the labelled sample; ``label`` makes it from tables and an
+earlier model.  A third of each batch are such rows; in the others generated
+values stand between sentences of rows without personal data.
 """
 
 from __future__ import annotations
 
+import json
+import multiprocessing as mp
+import os
 import random
 import re
 import sys
@@ -16,19 +21,30 @@ from pathlib import Path
 
 import numpy as np
 
-from memloom.llm.pii_data import CUES, TYPES, labelled_text
-from memloom.llm.pii_model import BITS, DIGIT, N_SYMBOLS, TAGS, Tagger, codes, ngram_hash, spans_of
+from memloom.llm.pii_data import TYPES, labelled_text
+from memloom.llm.pii_model import N_SYMBOLS, TAGS, Tagger, codes, spans_of
 
 MAX_ROWS, H, T, EMB, SEED = 40_000, 28, 128, 24, 7
 
 
-def backgrounds(table_dir: str) -> list[str]:
+def label(table_dir: str, model: str, out: str) -> None:
+    """Rows of the tables, labelled by an earlier model."""
     import pyarrow.parquet as pq
 
-    rows = pq.read_table(f"{table_dir}/episodes.parquet", columns=["content"])["content"].to_pylist()
-    rows += [x for x in pq.read_table(f"{table_dir}/handoffs.parquet", columns=["summary"])["summary"].to_pylist() if x]
-    rows = rows[:MAX_ROWS]
-    return [x for x in rows if not CUES.search(x)]
+    from memloom.llm.pii import find_spans
+
+    rows = [x for t, c in (("episodes", "content"), ("handoffs", "summary"), ("documents", "text")) for x in pq.read_table(f"{table_dir}/{t}.parquet", columns=[c])[c].to_pylist() if x]
+    rows = random.Random(SEED).sample(rows, min(len(rows), MAX_ROWS))
+    with open(out, "w") as f:
+        for t, s in zip(rows, find_spans(Tagger.load(Path(model)), rows)):
+            f.write(json.dumps([t, s]) + "\n")
+
+
+def labelled_rows(path: str) -> tuple[list[str], list[tuple[str, list]]]:
+    """(rows without personal data, rows with it) of a LABELS file."""
+    with open(path) as f:
+        rows = [json.loads(x) for _, x in zip(range(MAX_ROWS), f)]
+    return [t for t, s in rows if not s], [(t, [tuple(x) for x in s]) for t, s in rows if s]
 
 
 def cased(r: random.Random, s: str) -> str:
@@ -38,10 +54,16 @@ def cased(r: random.Random, s: str) -> str:
     return s.upper() if k < 0.03 else s.lower() if k < 0.06 else s.title() if k < 0.09 and len(s.title()) == len(s) else s
 
 
-def batch(r: random.Random, bg: list[str], n: int):
+def batch(r: random.Random, bg: list[str], n: int, known: list | None = None):
     X, Y, M = np.zeros((T, n), np.uint8), np.zeros((T, n), np.int8), np.zeros((T, n), np.float32)
     for j in range(n):
-        text, spans = labelled_text(r, cased(r, r.choice(bg)))
+        k = r.random()
+        if known and k < 0.2:
+            text, spans = r.choice(known)
+        elif k < 0.33:
+            text, spans = cased(r, r.choice(bg)), []
+        else:
+            text, spans = labelled_text(r, cased(r, r.choice(bg)))
         tags = np.zeros(len(text), np.int8)
         for a, b, kind in spans:
             k = 1 + 2 * TYPES.index(kind)
@@ -121,9 +143,43 @@ def _scatter(into: np.ndarray, idx: np.ndarray, rows: np.ndarray) -> None:
     into += one @ rows
 
 
-def train(table_dir: str, out: str, seconds: float, start: str | None = None) -> None:
-    r, rng = random.Random(SEED), np.random.default_rng(SEED)
-    bg = backgrounds(table_dir)
+def _worker(conn, seed: int, labels: str, start_lr: float) -> None:
+    """Local steps from the parameters received, with moments of its own, until None comes."""
+    r = random.Random(seed)
+    bg, known = labelled_rows(labels)
+    m1, m2, step = {}, {}, 0
+    while (got := conn.recv()) is not None:
+        params, steps, part = got
+        tg, loss = Tagger(params), 0.0
+        for _ in range(steps):
+            X, Y, M = batch(r, bg, 160, known)
+            lens = M.sum(0).astype(int)
+            kf: list = []
+            kb: list = []
+            f, b = tg._run(X, M, "f", kf), tg._run(X, M, "b", kb)
+            em = f @ tg.p["V"][:H] + b @ tg.p["V"][H:] + tg.p["vb"]
+            nll, dem, dA, dst = crf_grad(tg, em, Y, lens)
+            g = {k: np.zeros_like(v) for k, v in tg.p.items()}
+            g["A"], g["start"], g["vb"] = dA, dst, dem.sum((0, 1))
+            flat = dem.reshape(-1, len(TAGS))
+            g["V"][:H], g["V"][H:] = f.reshape(-1, H).T @ flat, b.reshape(-1, H).T @ flat
+            lstm_back(tg, kf, dem @ tg.p["V"][:H].T, X, "f", g)
+            lstm_back(tg, kb, dem @ tg.p["V"][H:].T, X, "b", g)
+            norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
+            scale = min(1.0, 5.0 / (norm + 1e-9))
+            step += 1
+            lr = start_lr * min(1, step / 30) * max(0.03, 1 - part)
+            for k in tg.p:
+                gk = g[k] * scale
+                m1[k] = 0.9 * m1.get(k, 0) + 0.1 * gk
+                m2[k] = 0.99 * m2.get(k, 0) + 0.01 * gk * gk
+                tg.p[k] -= (lr * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            loss += float(nll) / steps
+        conn.send((tg.p, loss))
+
+
+def train(labels: str, out: str, seconds: float, start: str | None = None, workers: int = 0, steps: int = 12) -> None:
+    rng = np.random.default_rng(SEED)
     K = len(TAGS)
     p = {"V": rng.normal(0, 0.1, (2 * H, K)), "vb": np.zeros(K), "A": rng.normal(0, 0.05, (K, K)), "start": np.zeros(K)}
     p["vb"][0] = 1.0
@@ -131,50 +187,30 @@ def train(table_dir: str, out: str, seconds: float, start: str | None = None) ->
         p["E" + d] = rng.normal(0, 0.3, (N_SYMBOLS, 4 * H))
         p["E" + d][:, H : 2 * H] += 2.0
         p["U" + d] = rng.normal(0, 0.6 / np.sqrt(H), (H, 4 * H))
-    tg = Tagger({k: v.astype(np.float32) for k, v in p.items()})
+    p = {k: v.astype(np.float32) for k, v in p.items()}
     if start:
         known = Tagger.load(Path(start)).p
-        tg.p = {k: known[k].copy() for k in p}
-    m1 = {k: np.zeros_like(v) for k, v in tg.p.items()}
-    m2 = {k: np.zeros_like(v) for k, v in tg.p.items()}
-    avg = {k: v.copy() for k, v in tg.p.items()}
-    began, step, loss_avg = time.time(), 0, None
+        p = {k: known[k].copy() for k in p}
+    conns, procs = [], []
+    for w in range(workers or os.cpu_count() or 1):
+        here, there = mp.Pipe()
+        procs.append(mp.Process(target=_worker, args=(there, SEED + w, labels, 0.006 if start else 0.01), daemon=True))
+        procs[-1].start()
+        conns.append(here)
+    began, rounds = time.time(), 0
     while (spent := time.time() - began) < seconds:
-        X, Y, M = batch(r, bg, 160)
-        lens = M.sum(0).astype(int)
-        kf: list = []
-        kb: list = []
-        f, b = tg._run(X, M, "f", kf), tg._run(X, M, "b", kb)
-        em = f @ tg.p["V"][:H] + b @ tg.p["V"][H:] + tg.p["vb"]
-        loss, dem, dA, dst = crf_grad(tg, em, Y, lens)
-        g = {k: np.zeros_like(v) for k, v in tg.p.items()}
-        g["A"], g["start"], g["vb"] = dA, dst, dem.sum((0, 1))
-        flat = dem.reshape(-1, K)
-        g["V"][:H], g["V"][H:] = f.reshape(-1, H).T @ flat, b.reshape(-1, H).T @ flat
-        lstm_back(tg, kf, dem @ tg.p["V"][:H].T, X, "f", g)
-        lstm_back(tg, kb, dem @ tg.p["V"][H:].T, X, "b", g)
-        norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
-        scale = min(1.0, 5.0 / (norm + 1e-9))
-        step += 1
-        lr = (0.004 if start else 0.008) * min(1, step / 50) * max(0.03, 1 - spent / seconds)
-        for k in tg.p:
-            gk = g[k] * scale
-            m1[k] = 0.9 * m1[k] + 0.1 * gk
-            m2[k] = 0.99 * m2[k] + 0.01 * gk * gk
-            tg.p[k] -= (lr * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-            avg[k] += 0.02 * (tg.p[k] - avg[k])
-        loss_avg = loss if loss_avg is None else 0.98 * loss_avg + 0.02 * loss
-        if step % 100 == 0:
-            print(f"{spent:.0f} s, step {step}, loss {loss_avg:.3f}", flush=True)
-    tg.p.update(avg)
-    seen = np.zeros(1 << BITS, bool)
-    for s in bg:
-        for form in (s, s.upper(), s.lower(), s.title(), s.replace(" ", "  ")):
-            c = codes(form)
-            for w in (c,):
-                seen[ngram_hash(w)] = True
-    print("n-grams seen", int(seen.sum()), evaluate(tg, random.Random(99), bg))
-    np.savez_compressed(out, seen=np.packbits(seen), **{k: v.astype(np.float16) for k, v in tg.p.items()})
+        for c in conns:
+            c.send((p, steps, spent / seconds))
+        got = [c.recv() for c in conns]
+        p = {k: np.mean([g[0][k] for g in got], 0, dtype=np.float64).astype(np.float32) for k in p}
+        rounds += 1
+        if rounds % 10 == 0:
+            print(f"{spent:.0f} s, round {rounds}, loss {np.mean([g[1] for g in got]):.3f}", flush=True)
+    for c in conns:
+        c.send(None)
+    tg = Tagger(p)
+    print(evaluate(tg, random.Random(99), labelled_rows(labels)[0]))
+    np.savez_compressed(out, **{k: v.astype(np.float16) for k, v in tg.p.items()})
 
 
 def evaluate(tg: Tagger, r: random.Random, bg: list[str], n: int = 2000) -> dict:
@@ -182,7 +218,8 @@ def evaluate(tg: Tagger, r: random.Random, bg: list[str], n: int = 2000) -> dict
     X, Y, M = batch(r, bg, n)
     lens = M.sum(0).astype(int)
     hit = got = want = t_hit = t_got = t_want = 0
-    for j, path in enumerate(tg.viterbi(tg.emissions(X, M), lens)):
+    em = tg._run(X, M, "f") @ tg.p["V"][:H] + tg._run(X, M, "b") @ tg.p["V"][H:] + tg.p["vb"]
+    for j, path in enumerate(tg.viterbi(em.transpose(0, 2, 1), lens)):
         a, b = set(spans_of(path)), set(spans_of(Y[: lens[j], j]))
         hit, got, want = hit + len(a & b), got + len(a), want + len(b)
         ta, tb = {x[2] for x in a}, {x[2] for x in b}
@@ -191,4 +228,7 @@ def evaluate(tg: Tagger, r: random.Random, bg: list[str], n: int = 2000) -> dict
 
 
 if __name__ == "__main__":
-    train(sys.argv[1], sys.argv[2], float(sys.argv[3]) if len(sys.argv) > 3 else 600, sys.argv[4] if len(sys.argv) > 4 else None)
+    if sys.argv[1] == "label":
+        label(*sys.argv[2:5])
+    else:
+        train(sys.argv[1], sys.argv[2], float(sys.argv[3]), sys.argv[4] if len(sys.argv) > 4 else None)
