@@ -134,6 +134,21 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield c[COLUMNS]
 
 
+HEAD = 8
+
+
+def _longer(known: DataFrame, ends: DataFrame, by: list[str]) -> DataFrame:
+    """(by, last, n): how often words stand that begin with ``last`` and are longer.
+
+    Words meet ends on at most HEAD of their first letters, so a word gives no
+    more than HEAD rows however long it is; the rest of a longer end is compared.
+    """
+    head = known.select(*by, F.col("last").alias("word"), "n", F.explode(F.sequence(F.lit(1), F.least(F.lit(HEAD), F.length("last")))).alias("_k")).withColumn("_h", F.expr("substring(word, 1, _k)"))
+    e = ends.select(*by, "last", F.substring("last", 1, HEAD).alias("_h"))
+    met = head.join(e, [*by, "_h"]).filter((F.length("word") > F.length("last")) & F.col("word").startswith(F.col("last")))
+    return met.groupBy(*by, "last").agg(F.sum("n").alias("n"))
+
+
 COLUMNS = ["rec_kind", "rec_key", "feed", "prev", "last", "certain", "proper", "lens", "n", "n_end"]
 USUAL = 0.4
 
@@ -151,10 +166,10 @@ def cut_records(rows: DataFrame) -> DataFrame:
     recs = scan.filter("rec_kind is not null").drop("n", "n_end")
     pairs = materialize(scan.filter("rec_kind is null").groupBy("prev", "last").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end")), "pairs")
     words = pairs.groupBy("last").agg(F.sum("n").alias("n1"), F.sum("n_end").alias("e1"))
-    # how often a longer word stands where this one would: (word before, proper beginning of the word)
-    longer = pairs.filter(F.length("last") > 1).select("prev", "n", F.explode(F.expr("transform(sequence(1, length(last) - 1), i -> substring(last, 1, i))")).alias("last")).groupBy("prev", "last").agg(F.sum("n").alias("n_longer"))
-    longer1 = words.filter(F.length("last") > 1).select("n1", F.explode(F.expr("transform(sequence(1, length(last) - 1), i -> substring(last, 1, i))")).alias("last")).groupBy("last").agg(F.sum("n1").alias("n_longer1"))
     open_ends = recs.filter("not certain and not proper").select("prev", "last").distinct()
+    # how often a longer word stands where this one would: (word before, proper beginning of the word)
+    longer = _longer(pairs.filter(F.length("last") > 1).select("prev", "last", "n"), open_ends, ["prev"]).withColumnRenamed("n", "n_longer")
+    longer1 = _longer(words.filter(F.length("last") > 1).select("last", F.col("n1").alias("n")), open_ends.select("last").distinct(), []).withColumnRenamed("n", "n_longer1")
     stats = open_ends.join(pairs, ["prev", "last"], "left").join(words, "last", "left").join(longer, ["prev", "last"], "left").join(longer1, "last", "left")
     n, e = F.coalesce("n", F.lit(0)), F.coalesce("n_end", F.lit(0))
     n1, e1 = F.coalesce("n1", F.lit(0)), F.coalesce("e1", F.lit(0))
