@@ -16,29 +16,40 @@ from pyspark.sql.window import Window as W
 from memloom.sources.tables import materialize
 
 
-def truth_discovery(claims: DataFrame, rounds: int = 20, tol: float = 1e-3) -> tuple[DataFrame, DataFrame]:
+def truth_discovery(claims: DataFrame, most: int = 100, tol: float = 1e-3) -> tuple[DataFrame, DataFrame]:
     """claims: object, field, source, value (string, nulls and blanks are no claims), weight (double).
 
     Returns (truths: object, field, value, support share) and (sources: source, reliability).
     Copies of a claim by one source are one claim with the larger weight.
-    Ties go to the greater weight, then to the smaller value.
+    Ties go to the greater weight, then to the smaller value.  Reliabilities
+    that move by more than ``tol`` after ``most`` rounds are an error.
     """
     c = claims.filter(F.col("value").isNotNull() & (F.trim("value") != "")).withColumn("source", F.coalesce("source", F.lit("?")))
     c = materialize(c.groupBy("object", "field", "source", "value").agg(F.max("weight").alias("weight")), "claims")
-    trust = c.select("source").distinct().withColumn("trust", F.lit(0.8))
+    # fields all of whose claims agree say nothing about who is right; their shares are one in every round
+    open_fields = c.groupBy("object", "field").agg(F.min("value").alias("_a"), F.max("value").alias("_b")).withColumn("_open", F.col("_a") != F.col("_b")).select("object", "field", "_open")
+    c = materialize(c.join(open_fields, ["object", "field"]), "claims")
+    settled = c.filter("not _open").groupBy("source").agg(F.count(F.lit(1)).alias("n0"))
+    settled = materialize(c.select("source").distinct().join(settled, "source", "left").select("source", F.coalesce("n0", F.lit(0)).alias("n0")), "sources")
+    disputed = c.filter("_open")
     one = W.partitionBy("object", "field")
-    votes = None
-    before: dict[str, float] = {}
-    for _ in range(rounds):
-        v = c.join(trust, "source").groupBy("object", "field", "value").agg(F.sum(F.col("trust") * F.col("weight")).alias("support"), F.max("weight").alias("weight"))
-        votes = v.withColumn("share", F.col("support") / F.sum("support").over(one))
-        trust = c.join(votes.select("object", "field", "value", "share"), ["object", "field", "value"]).groupBy("source").agg(F.least(F.lit(0.99), F.greatest(F.lit(0.01), F.avg("share"))).alias("trust"))
-        trust = materialize(trust, "trust")
-        # the sources are feeds: their number is checked before it is compared on the driver
-        now = {r["source"]: r["trust"] for r in trust.limit(10_001).collect()}
-        if len(now) <= 10_000 and before and max((abs(now[s] - before.get(s, 0)) for s in now), default=0) < tol:
+
+    def votes(trust: DataFrame, of: DataFrame) -> DataFrame:
+        v = of.join(trust, "source").groupBy("object", "field", "value").agg(F.sum(F.col("trust") * F.col("weight")).alias("support"), F.max("weight").alias("weight"))
+        return v.withColumn("share", F.col("support") / F.sum("support").over(one))
+
+    trust = settled.select("source", F.lit(0.8).alias("trust"))
+    for _ in range(most):
+        got = disputed.join(votes(trust, disputed).select("object", "field", "value", "share"), ["object", "field", "value"]).groupBy("source").agg(F.sum("share").alias("s"), F.count(F.lit(1)).alias("n"))
+        mean = (F.coalesce("s", F.lit(0.0)) + F.col("n0")) / (F.coalesce("n", F.lit(0)) + F.col("n0"))
+        new = materialize(settled.join(got, "source", "left").select("source", F.least(F.lit(0.99), F.greatest(F.lit(0.01), mean)).alias("trust")), "trust")
+        moved = new.join(trust.withColumnRenamed("trust", "old"), "source").agg(F.max(F.abs(F.col("trust") - F.col("old")))).first()[0]
+        trust = new
+        if moved is None or moved < tol:
             break
-        before = now
+    else:
+        raise RuntimeError(f"reliabilities still move by {moved} after {most} rounds")
+    votes = votes(trust, c)
     first = W.partitionBy("object", "field").orderBy(F.desc("support"), F.desc("weight"), "value")
     truths = votes.withColumn("_r", F.row_number().over(first)).filter("_r = 1").select("object", "field", "value", "share")
     return truths, trust
