@@ -10,7 +10,8 @@ most one leader chain per table, however dense a cluster is.
 Clustering.  The column-stochastic matrix of these edges (with loops) is
 squared, inflated and pruned by joins until it stands still.  Its attractor
 rows are the clusters, and the members of the strongest flow their typical
-ones.  Attractors that share a member are one cluster.
+ones.  Attractors to which one column flows are one cluster; a link of the
+graph alone joins nothing, so a bridge between dense parts is cut.
 """
 
 from __future__ import annotations
@@ -152,14 +153,14 @@ def similarity_graph(vectors: DataFrame, floor: float, tables: int = 12, dim: in
     return links.filter("sure").select("src", "dst", "cosine").unionByName(decided)
 
 
-def markov_clusters(graph: DataFrame, inflation: float = 2.0, prune: float = 1e-3, most: int = 12) -> DataFrame:
+def markov_clusters(graph: DataFrame, inflation: float = 2.0, prune: float = 1e-3, most: int = 60) -> DataFrame:
     """(id, attractor, flow) of every node of ``graph``: the strongest attractor and its flow.
 
     Each round squares the matrix (a join on the middle node, which partial
     aggregation keeps narrow), raises the entries to ``inflation``, drops those
     under ``prune`` and rescales the columns.  It ends when no entry moves by
-    more than a thousandth, at the latest after ``most`` rounds, which double
-    the reach of the flow each.
+    more than a thousandth; flow that still moves after ``most`` rounds, which
+    double its reach each, is an error.
     """
     e = graph.select(F.col("src").alias("col"), F.col("dst").alias("row"), F.col("cosine").alias("w"))
     nodes = e.select("col").union(e.select("row")).distinct()
@@ -183,14 +184,15 @@ def markov_clusters(graph: DataFrame, inflation: float = 2.0, prune: float = 1e-
         m = nxt
         if moved is None or moved < 1e-3:
             break
+    else:
+        raise RuntimeError(f"the flow still moves by {moved} after {most} rounds")
     return m.groupBy("col").agg(F.max(F.struct("w", (-F.col("row")).alias("r"))).alias("_x"), F.collect_set("row").alias("rows")).select(F.col("col").alias("id"), (-F.col("_x.r")).alias("attractor"), F.col("_x.w").alias("flow"), "rows")
 
 
 def clusters(graph: DataFrame) -> DataFrame:
-    """(id, cluster, attractor, flow): attractors that one graph link joins are one cluster, named by its smallest attractor."""
-    mc = materialize(markov_clusters(graph).drop("rows"), "clusters")
-    at = mc.select("id", "attractor")
-    ends = graph.join(at.toDF("src", "a"), "src").join(at.toDF("dst", "b"), "dst").filter("a <> b").select("a", "b").distinct()
+    """(id, cluster, attractor, flow): attractors to which one column flows are one cluster, named by the smallest of them."""
+    mc = materialize(markov_clusters(graph), "clusters")
+    ends = mc.select(F.col("attractor").alias("a"), F.explode("rows").alias("b")).filter("a <> b").distinct()
     comp = components(ends)
     return mc.join(comp, mc["attractor"] == comp["node"], "left").select("id", F.coalesce("root", "attractor").alias("cluster"), "attractor", "flow")
 
@@ -305,8 +307,16 @@ def outside_links(members: DataFrame, closed: DataFrame, vectors: DataFrame, flo
     def exact(v: pd.Series, w: pd.Series) -> pd.Series:
         return pd.Series(np.einsum("ij,ij->i", matrix(v, dim).astype(np.float64), matrix(w, dim).astype(np.float64)) if len(v) else [], dtype=float)
 
-    pairs = found.join(vectors, "id").join(mv.select("cluster", F.col("vec").alias("member")), "cluster")
-    return pairs.select("id", "cluster", exact("vec", "member").alias("cosine")).groupBy("id", "cluster").agg(F.max("cosine").alias("cosine")).filter(F.col("cosine") >= floor)
+    def linked(pairs: DataFrame, among: DataFrame) -> DataFrame:
+        met = pairs.join(vectors, "id").join(among.select("cluster", F.col("vec").alias("member")), "cluster")
+        return met.select("id", "own", "cluster", exact("vec", "member").alias("cosine")).groupBy("id", "own", "cluster").agg(F.max("cosine").alias("cosine")).filter(F.col("cosine") >= floor)
+
+    # one link joins two clusters: a few members first, all of them only for what is then still open
+    found = materialize(found.join(own.select("id", "own"), "id"), "near_means")
+    few = mv.groupBy("cluster", F.pmod(F.xxhash64("id"), F.lit(4)).alias("_p")).agg(F.min_by("vec", F.xxhash64("id", "cluster")).alias("vec"))
+    first = materialize(linked(found, few), "linked")
+    rest = found.join(first.select("own", "cluster").distinct(), ["own", "cluster"], "left_anti")
+    return first.unionByName(linked(rest, mv)).select("id", "cluster", "cosine")
 
 
 def closed_cliques(members: DataFrame, vectors: DataFrame, floor: float, least: int = 5, dim: int = 64) -> tuple[DataFrame, DataFrame]:

@@ -134,8 +134,7 @@ def test_clusters_against_brute_force(spark):
     rows = [(i, x) for i, x in enumerate(v + odd)] + [(10_000, v[0]), (10_001, v[0])]
     vec = from_arrays(spark.createDataFrame(rows, "id long, v array<float>"), "id", "v")
     assert vec.count() == len(v) + 2
-    m = clusters(similarity_graph(vec, 0.8))
-    sizes = cliques(m, vec, 0.8)
+    m, sizes = closed_cliques(clusters(similarity_graph(vec, 0.8)), vec, 0.8)
     res = m.join(sizes, "cluster").groupBy("cluster").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.first("size").alias("size"))
     mat = np.array([np.array(x, np.float32) for _, x in rows if x is not None and len(x) == 64 and all(y is not None and np.isfinite(y) for y in x) and any(x)], float)
     ids = [i for i, x in rows if x is not None and len(x) == 64 and all(y is not None and np.isfinite(y) for y in x) and any(x)]
@@ -159,6 +158,26 @@ def test_clusters_against_brute_force(spark):
     assert sorted((list(r["ids"]), r["size"]) for r in res.collect()) == sorted(want)
 
 
+def test_a_bridge_joins_no_clusters(spark):
+    """Two cliques of five and one link between them: one component, two clusters by flow."""
+    two = [(a + o, b + o, 0.95) for o in (0, 10) for a in range(5) for b in range(a)] + [(14, 4, 0.8)]
+    g = spark.createDataFrame(two, "src long, dst long, cosine double")
+    c = dict(got(clusters(g), "id", "cluster"))
+    assert len(set(components(g, "src", "dst").select("root").collect())) == 1
+    assert len({c[i] for i in range(5)}) == len({c[i] for i in range(10, 15)}) == 1 and c[0] != c[10]
+
+
+def test_split_cluster_is_joined_again(spark):
+    """A clique that the flow would split is one cluster after the search outside."""
+    rng = np.random.default_rng(11)
+    c = rng.normal(size=64)
+    v = [[float(x) for x in c / np.linalg.norm(c) + rng.normal(size=64) * 0.04] for _ in range(60)]
+    vec = from_arrays(spark.createDataFrame(list(enumerate(v)), "id long, v array<float>"), "id", "v")
+    m = spark.createDataFrame([(i, i % 3, i % 3, 1.0) for i in range(60)], "id long, cluster long, attractor long, flow double")
+    m, sizes = closed_cliques(m, vec, 0.8)
+    assert [r["size"] for r in sizes.collect()] == [60] and m.select("cluster").distinct().count() == 1
+
+
 def test_clusters_of_nothing(spark):
     vec = from_arrays(spark.createDataFrame([], "id long, v array<float>"), "id", "v")
     assert clusters(similarity_graph(vec, 0.8)).count() == 0
@@ -190,7 +209,7 @@ def even_groups(n, size, cosine, seed):
 
 def test_graph_salted_keeps_groups_whole(spark):
     df = spark.createDataFrame(even_groups(120, 20, 0.87, 3), "id long, vec binary").cache()
-    r = clusters(similarity_graph(df, 0.8, rows=2_000_000)).groupBy((F.col("id") / 20).cast("int").alias("g")).agg(F.countDistinct("cluster").alias("n"), F.count(F.lit(1)).alias("rows"))
+    r = components(similarity_graph(df, 0.8, rows=2_000_000), "src", "dst").groupBy((F.col("node") / 20).cast("int").alias("g")).agg(F.countDistinct("root").alias("n"), F.count(F.lit(1)).alias("rows"))
     assert {(x["n"], x["rows"]) for x in r.collect()} == {(1, 20)}
 
 
