@@ -2,8 +2,8 @@
 
 ``top_similar`` cuts the vectors into blocks and joins every pair of blocks
 once.  A tile multiplies int8 codes (held in float32, where sums of 64 products
-of 7-bit numbers are exact, so the matrix product runs in BLAS); the codes'
-residual norms bound the error of every product.  Pairs that could reach the
+of 7-bit numbers are exact, so the matrix product runs in BLAS) and scales the
+whole numbers by the rows' steps; the codes' residual norms bound the error.  Pairs that could reach the
 threshold within that bound are computed again in float64, and each row keeps
 a heap of its best k, merged over tiles.  The result is exact.
 """
@@ -76,19 +76,21 @@ def int8_codes(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class _Block:
     def __init__(self, ids: np.ndarray, blob: bytes, dim: int):
         self.ids, self.v = ids, np.frombuffer(blob, "<f4").reshape(-1, dim)
-        code, step, self.err = int8_codes(self.v)
+        code, self.step, self.err = int8_codes(self.v)
         self.code = code.astype(np.float32)
-        self.code *= step[:, None]
 
 
 def _tile(a: _Block, b: _Block, same: bool, k: int, floor: float, heaps: dict) -> None:
     """Best pairs of one tile into ``heaps`` (id -> heap of (cosine, other id reversed))."""
     chunk = 2048
     b_err = float(b.err.max())
-    kth_b = np.full(len(b.ids), -2.0, np.float32)
-    rows_b: dict[int, list] = {}
+    # lower bounds of the k-th best cosine of each row of ``b`` over the chunks so far
+    low_b = np.full(len(b.ids), -2.0, np.float32)
     for lo in range(0, len(a.ids), chunk):
+        # whole numbers up to 64 * 127 * 127, exact in float32
         prod = a.code[lo : lo + chunk] @ b.code.T
+        prod *= a.step[lo : lo + chunk, None]
+        prod *= b.step
         n = prod.shape[0]
         if same:
             prod[np.arange(n), lo + np.arange(n)] = -3
@@ -98,16 +100,12 @@ def _tile(a: _Block, b: _Block, same: bool, k: int, floor: float, heaps: dict) -
         else:
             # a row's k-th best product less its error is a lower bound of its k-th best cosine
             kk = min(k, prod.shape[1])
-            kth = np.partition(prod, prod.shape[1] - kk, 1)[:, prod.shape[1] - kk] - 2 * slack
-            keep = prod >= kth[:, None]
+            low_a = np.partition(prod, prod.shape[1] - kk, 1)[:, prod.shape[1] - kk] - slack
+            keep = prod + slack[:, None] >= low_a[:, None]
             if not same:
-                kb = min(k, n)
-                kth_col = np.maximum(np.partition(prod, n - kb, 0)[n - kb], kth_b)
                 if n >= k:
-                    kth_b = kth_col
-                    keep |= prod >= (kth_col - 2 * slack.max())[None, :]
-                else:
-                    keep |= prod >= (np.maximum(kth_b, -2) - 2 * slack.max())[None, :]
+                    np.maximum(low_b, np.partition(prod - slack[:, None], n - k, 0)[n - k], out=low_b)
+                keep |= prod + slack[:, None] >= low_b
             i, j = np.nonzero(keep)
         if not len(i):
             continue
@@ -179,7 +177,9 @@ def top_similar(vectors: DataFrame, k: int, floor: float = -1.0, dim: int = 64,
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     try:
-        width = max(1, min(blocks * (blocks + 1) // 2, 4 * spark.sparkContext.defaultParallelism if blocks > 1 else 1))
+        tiles_n = blocks * (blocks + 1) // 2
+        # at most eight tiles a task, whatever the number of rows
+        width = max(1, min(tiles_n, max(4 * spark.sparkContext.defaultParallelism, -(-tiles_n // 8))))
         best = materialize(tiles.repartition(width, "x", "y").mapInPandas(run, f"id {kind}, other {kind}, cosine double"), "best")
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
