@@ -1,8 +1,8 @@
 """Evaluation texts inside a training corpus, found by latent semantic retrieval.
 
 The corpus is cut into overlapping passages of words.  Their TF-IDF matrix
-over hashed words is reduced by a distributed randomised SVD (a few passes in
-which every partition adds its part of a small matrix).  Items are cut alike;
+over hashed words is reduced by a distributed randomised SVD (passes over the
+corpus in which every partition adds its part of a small matrix).  Items are cut alike;
 a passage whose latent vector is near one of an item's makes the document a
 candidate for the item, and so do shared word pairs, stock or not.  Each
 candidate is decided by the longest common subsequence of the item's words
@@ -28,7 +28,7 @@ HYPHEN = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n[ \t>]*(?=[^\W\d_])")
 WORD = re.compile(r"[⺀-鿿]|[^\W_⺀-鿿]+")
 PASSAGE, STEP, DIM_BITS, RANK, SEED = 32, 16, 13, 48, 11
 D = 1 << DIM_BITS
-SHARE, MAX_ITEMS = 0.4, 100_000
+SHARE, BLOCK_ITEMS = 0.4, 20_000
 
 
 def words(text: str | None) -> list[str]:
@@ -64,6 +64,13 @@ def passages(n: int) -> list[tuple[int, int]]:
     return [*out, (n - PASSAGE, n)]
 
 
+def whole_cover(n: int) -> list[tuple[int, int]]:
+    """Word ranges of PASSAGE words that cover the text, overlapping at its end only."""
+    if n <= PASSAGE:
+        return [(0, n)] if n else []
+    return [*((a, a + PASSAGE) for a in range(0, n - PASSAGE, PASSAGE)), (n - PASSAGE, n)]
+
+
 def _rows(feats: np.ndarray, spans: list[tuple[int, int]], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse TF-IDF rows of unit length: (row, column, value)."""
     r = np.concatenate([np.full(b - a, i) for i, (a, b) in enumerate(spans)])
@@ -149,8 +156,8 @@ def latent_basis(docs: DataFrame, text: str, power_steps: int = 1) -> tuple[np.n
             for pdf in batches:
                 spans, feats, at = [], [], 0
                 for _, f in _features(pdf["t"], hasher):
-                    # every other passage covers all words once
-                    spans += [(a + at, b + at) for a, b in passages(len(f))[::2]]
+                    # windows side by side; the last one ends with the text
+                    spans += [(a + at, b + at) for a, b in whole_cover(len(f))]
                     feats.append(f)
                     at += len(f)
                 if spans:
@@ -209,13 +216,18 @@ def stretches(item: ItemWords, doc: list[str], gap: int = 12, least: int = 3) ->
                 runs.append([j, e, 1])
     if not runs and len(item.words) == 1:
         return int(item.words[0] in doc)
-    runs = sorted((r for r in runs if r[2] >= min(least, max(1, len(item.words) - 1))), key=lambda r: -r[2])
+    runs = [r for r in runs if r[2] >= min(least, max(1, len(item.words) - 1))]
     if not runs:
         return 0
-    parts = [doc[a : b + 1] for a, b, _ in runs]
-    top = max(item.lcs(p) for p in parts[:8])
-    for i, x in enumerate(parts[:6]):
-        for y in parts[i + 1 : 6]:
+    # two stretches hold no longer a subsequence than both of them alone
+    parts = sorted(((item.lcs(doc[a : b + 1]), doc[a : b + 1]) for a, b, _ in runs), key=lambda x: -x[0])
+    top = parts[0][0]
+    for i, (nx, x) in enumerate(parts):
+        if 2 * nx <= top:
+            break
+        for ny, y in parts[i + 1 :]:
+            if nx + ny <= top:
+                break
             top = max(top, item.lcs(x + y), item.lcs(y + x))
     return top
 
@@ -262,15 +274,25 @@ class Bounds:
 def leaks(docs: DataFrame, items: DataFrame, text: str = "text", floor: float = 0.4) -> DataFrame:
     """(doc_id, item_id, words, share, answer): documents and the items they leak.
 
-    The items are the held-out side and of bounded number (MAX_ITEMS, checked);
-    all documents are read whole.  ``share`` is the part of the item's words
-    found, ``answer`` whether its last ten words are among the text.  Null and
-    empty texts leak nothing; repeated documents are judged alike.
+    The items are the held-out side; they go in blocks of about BLOCK_ITEMS, each
+    broadcast once and held against all documents, which are read whole.
+    ``share`` is the part of the item's words found, ``answer`` whether its last
+    ten words are among the text.  Null and empty texts leak nothing; repeated
+    documents are judged alike.
     """
-    rows = items.select("item_id", F.col(text).alias("t")).filter("t is not null").limit(MAX_ITEMS + 1).collect()
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} items")
+    listed = items.select("item_id", F.col(text).alias("t")).filter("t is not null and item_id is not null")
+    blocks = max(1, -(-listed.count() // BLOCK_ITEMS))
     idf, basis = latent_basis(docs, text)
+    out = None
+    for b in range(blocks):
+        part = listed.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else listed
+        found = _block_leaks(docs, part.collect(), idf, basis, text, floor)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _block_leaks(docs: DataFrame, rows: list, idf: np.ndarray, basis: np.ndarray, text: str, floor: float) -> DataFrame:
+    """``leaks`` for one block of items."""
     ids = [r["item_id"] for r in rows]
     item_words = [words(r["t"]) for r in rows]
     hasher = Hasher()
