@@ -4,7 +4,8 @@ One pass measures every text: share of the most frequent word pair and of the
 ten most frequent ones, share of words inside links, separators per word,
 share of repeated lines and share of function words.  The thresholds follow
 the language: medians over all documents of the language set what is usual,
-and a page is reported where it is far from that.
+and a page is reported where it is far from that.  (The medians leave out texts
+under twelve words, which have no ten pairs; those texts are judged like all.)
 """
 
 from __future__ import annotations
@@ -31,17 +32,17 @@ LANGUAGES = tuple(FUNCTION_WORDS)
 
 URL = re.compile(r"(?:https?:)?//[^\s\"'<>)\]]+|\bwww\.[^\s\"'<>)\]]+|\b(?:[a-z0-9-]+\.)+(?:com|net|org|info|biz|shop|io|example|test|invalid)\b(?:/[^\s\"'<>)\]]*)?", re.I)
 ANCHOR = re.compile(r"<a\b[^>]*>(.*?)</a>", re.I | re.S)
-MARKDOWN = re.compile(r"\[([^\]\n]{1,120})\]\(([^)\s]*)\)")
+MARKDOWN = re.compile(r"\[([^\[\]\n]+)\]\(([^()\s]*)\)")
 TAG = re.compile(r"<[^<>]*>")
 WORD = re.compile(r"[⺀-鿿]|[^\W_⺀-鿿]+")
 SEPARATOR = re.compile(r"[|,;#•·»›>*=，、；/\n]| - ")
 HASHTAG = re.compile(r"#\w+")
 
-COLUMNS = ("guess", "n_words", "top_word", "top_pair", "ten_pairs", "link_share", "separators", "repeated_lines", "function_share", "rest_share", "rest_function_share")
-SCHEMA = "guess string, n_words long, top_word double, top_pair double, ten_pairs double, link_share double, separators double, repeated_lines double, function_share double, rest_share double, rest_function_share double"
+COLUMNS = ("guess", "n_words", "top_word", "top_pair", "ten_pairs", "link_share", "separators", "repeated_lines", "function_share", "rest_share", "rest_function_share", "repeats", "evidence")
+SCHEMA = "guess string, n_words long, top_word double, top_pair double, ten_pairs double, link_share double, separators double, repeated_lines double, function_share double, rest_share double, rest_function_share double, repeats long, evidence long"
 
 
-NOTHING = (None, 0, *[0.0] * 9)
+NOTHING = (None, 0, *[0.0] * 9, 0, 0)
 SENTENCE_END = re.compile(r"[.!?。！？:][\"'”’)\]]*$")
 
 
@@ -54,10 +55,11 @@ def measures(text: str | None) -> tuple:
     """The measures of one text; a null or wordless text has zero words and zero everywhere."""
     if not text:
         return NOTHING
-    linked = 0
+    linked = links = 0
 
     def anchor(m: re.Match) -> str:
-        nonlocal linked
+        nonlocal linked, links
+        links += 1
         linked += len(WORD.findall(TAG.sub(" ", m[1])))
         return f" {m[1]} "
 
@@ -90,9 +92,10 @@ def measures(text: str | None) -> tuple:
             rest += ws
     mine = SETS[guess] if guess else prose_set
     rest_share = sum(w in mine for w in rest) / max(1, len(rest))
+    marks = len(SEPARATOR.findall(plain)) + len(HASHTAG.findall(plain))
     return (
         guess, n, max(counts.values(), default=0) / n, best[0][1] / total if best else 0.0, sum(c for _, c in best) / total, min(1.0, linked / n),
-        (len(SEPARATOR.findall(plain)) + len(HASHTAG.findall(plain))) / n, 1 - len(set(lines)) / max(1, len(lines)), share, len(rest) / n, rest_share,
+        marks / n, 1 - len(set(lines)) / max(1, len(lines)), share, len(rest) / n, rest_share, best[0][1] if best else 0, marks + links + len(urls) + len(bare) - len(counts),
     )
 
 
@@ -101,39 +104,40 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
 
     @F.pandas_udf(f"struct<{', '.join(x.replace(' ', ':') for x in SCHEMA.split(', '))}>")
     def run(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([measures(t) for t in s], columns=list(COLUMNS)).astype({"n_words": "int64"})
+        return pd.DataFrame([measures(t) for t in s], columns=list(COLUMNS)).astype({"n_words": "int64", "repeats": "int64", "evidence": "int64"})
 
     out = spread(docs).withColumn("_m", run(F.col(text))).select(*[c for c in docs.columns if c not in COLUMNS], "_m.*")
     said = F.lower(F.substring(F.trim(F.col("lang")), 1, 2)) if "lang" in docs.columns else F.lit(None).cast("string")
     return out.withColumn("language", F.coalesce("guess", F.when(said.isin(*LANGUAGES), said), F.lit("en")))
 
 
-def calibrated(measured: DataFrame, min_docs: int = 30) -> DataFrame:
-    """Medians of the measures by language over all documents; a language of fewer than ``min_docs`` takes those of all."""
+def calibrated(measured: DataFrame, prior: int = 30) -> DataFrame:
+    """Medians of the measures by language over all documents, drawn towards those of all languages with the weight of ``prior`` documents."""
     cols = ("function_share", "top_pair", "ten_pairs", "separators")
     med = lambda c: F.percentile_approx(c, 0.5, 1000)
     m = measured.filter("n_words >= 12")
     alls = m.agg(*[med(c).alias(f"all_{c}") for c in cols])
-    by = m.groupBy("language").agg(F.count(F.lit(1)).alias("n"), *[med(c).alias(f"med_{c}") for c in cols])
-    # at most one row per language of LANGUAGES
-    return by.crossJoin(F.broadcast(alls)).select("language", *[F.when(F.col("n") >= min_docs, F.col(f"med_{c}")).otherwise(F.col(f"all_{c}")).alias(f"med_{c}") for c in cols])
+    by = measured.groupBy("language").agg(F.count_if(F.col("n_words") >= 12).alias("n"), *[med(F.when(F.col("n_words") >= 12, F.col(c))).alias(f"med_{c}") for c in cols])
+    # at most one row per language of LANGUAGES; without any page of some length the medians are zero
+    mixed = lambda c: (F.col("n") * F.coalesce(f"med_{c}", F.lit(0.0)) + prior * F.coalesce(f"all_{c}", F.lit(0.0))) / (F.col("n") + prior)
+    return by.crossJoin(F.broadcast(alls)).select("language", *[mixed(c).alias(f"med_{c}") for c in cols])
 
 
-MIN_WORDS = 12
+REPEATS = 3
 
 
 def reason() -> Column:
-    """Why a measured page with its language's medians is spam; null if it is none."""
+    """Why a measured page with its language's medians is spam; null if it is none.
+
+    A list shows in at least REPEATS separators, links or repeated words, a
+    stuffed page in a pair of words that stands REPEATS times; there is no
+    other limit on length.
+    """
     c = F.col
-    few = (c("rest_function_share") < 0.22 * c("med_function_share")) & (c("rest_share") >= 0.5)
-    long_enough = c("n_words") >= MIN_WORDS
-    stuffed = (c("top_pair") >= F.greatest(F.lit(0.10), 4 * c("med_top_pair"))) & (c("ten_pairs") >= F.greatest(F.lit(0.30), 1.8 * c("med_ten_pairs")))
+    few = (c("rest_function_share") < 0.22 * c("med_function_share")) & (c("rest_share") >= 0.5) & (c("evidence") >= REPEATS)
+    stuffed = (c("top_pair") >= F.greatest(F.lit(0.10), 4 * c("med_top_pair"))) & (c("ten_pairs") >= F.greatest(F.lit(0.30), 1.8 * c("med_ten_pairs"))) & (c("repeats") >= REPEATS)
     listy = (c("separators") >= F.greatest(F.lit(0.15), 1.2 * c("med_separators"))) | (c("ten_pairs") >= 0.15) | (c("top_word") >= 0.08) | (c("repeated_lines") >= 0.2)
-    return (
-        F.when(long_enough & (c("link_share") >= 0.3) & few, "links")
-        .when(long_enough & few & listy, "tags")
-        .when(long_enough & stuffed & (c("n_words") >= 30), "stuffed")
-    )
+    return F.when((c("link_share") >= 0.3) & few, "links").when(few & listy, "tags").when(stuffed, "stuffed")
 
 
 def spam_pages(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
