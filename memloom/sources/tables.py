@@ -23,12 +23,21 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="memloom-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
     return f"file://{own}"
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one; ``release`` deletes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as a parquet table in the shared folder and read it back.
 
@@ -36,12 +45,11 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     any executor can read it, and a lost one takes nothing with it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     w = df.write
     if partition_by:
         w = w.partitionBy(partition_by)
     w.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
