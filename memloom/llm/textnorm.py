@@ -131,7 +131,11 @@ def broken_filler(w: str) -> bool:
     return any(typo(w, f) for f in ("apparently", "again", "offenbar", "wieder", "noted", "just", "encore", "parecer")) if len(w) > 3 else w in ("by", "the", "way", "as", "noted", "to", "self")
 
 
-def same(a: list[str], b: list[str], slack: float = 0.4) -> bool:
+#: Largest share of the shorter text's words that light rewording touches; a fifth, so that four fifths overlap.
+SLACK = 0.2
+
+
+def same(a: list[str], b: list[str], slack: float = SLACK) -> bool:
     """Whether canonical word lists ``a`` and ``b`` say the same.
 
     What is left after equal words cancel must pair up as typing errors or be
@@ -144,7 +148,7 @@ def same(a: list[str], b: list[str], slack: float = 0.4) -> bool:
     ca, cb = Counter(a), Counter(b)
     ra, rb = list((ca - cb).elements()), list((cb - ca).elements())
     shorter = min(len(a), len(b))
-    if min(len(ra), len(rb)) > max(2, slack * shorter) or max(len(ra), len(rb)) > max(6, 2 * slack * shorter):
+    if min(len(ra), len(rb)) > max(4, slack * shorter) or max(len(ra), len(rb)) > max(6, 2 * slack * shorter):
         return False
     if any(has_digit(w) or CJK_RUN.match(w) for w in ra + rb):
         return False

@@ -16,6 +16,7 @@ from memloom.llm.pii import find_pii
 from memloom.llm.spam import spam_pages
 from memloom.llm.split import split_episodes
 from memloom.llm.survivor import best_members, truth_discovery
+from memloom.llm.textnorm import canonical, same
 from memloom.llm.truncation import cut_records, cut_shares
 from memloom.llm.vectors import from_arrays, from_blobs, similar_pairs, top_similar
 
@@ -90,6 +91,71 @@ def test_batches(spark):
     assert got(out, "first_id", "repeat_id") == [(1, 10), (11, 12), (11, 20), (21, 22)]
 
 
+def _plain_repeats(history, batches):
+    """First and repeat ids by comparing every row with all accepted ones before it."""
+    acc, out = [(i, canonical(t)) for i, t in history], []
+    for b in batches:
+        for i, t in sorted(b):
+            w = canonical(t)
+            hit = min((j for j, x in acc if j < i and same(w, x)), default=None)
+            if hit is None:
+                acc.append((i, w))
+            else:
+                out.append((hit, i))
+    return sorted(out)
+
+
+def _wordy(rng, n):
+    """Texts without any digit, some of them lightly reworded copies of others, some chains of them."""
+    vocab = ["".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(rng.randint(4, 9))) for _ in range(60)]
+    base = [" ".join(rng.choice(vocab) for _ in range(rng.randint(6, 25))) for _ in range(n // 3)]
+    out = []
+    for _ in range(n):
+        w = rng.choice(base).split()
+        for _ in range(rng.choice((0, 0, 1, 1, 2))):
+            k = rng.randrange(len(w))
+            w[k] = w[k][:1] + rng.choice("xyzq") + w[k][1:]
+        if rng.random() < 0.3:
+            w.insert(0, "apparently")
+        out.append(" ".join(w))
+    return out
+
+
+def test_batches_without_numbers_against_a_plain_pass(spark, tmp_path):
+    from memloom.llm.dedupe import IncrementalIndex, with_canonical
+
+    rng = random.Random(4)
+    t = _wordy(rng, 240)
+    parts = [list(enumerate(t))[a : a + 60] for a in (0, 60, 120, 180)]
+    h, acc = [], []
+    for i, x in parts[0]:
+        w = canonical(x)
+        if not any(same(w, y) for y in acc):
+            acc.append(w)
+            h.append((i, x))
+    rows = lambda p: spark.createDataFrame([(i, "t", x) for i, x in p], "row_id long, s string, text string")
+    want = _plain_repeats(h, parts[1:])
+    assert got(batch_repeats(rows(h), [rows(p) for p in parts[1:]], ["s"]), "first_id", "repeat_id") == want and len(want) > 40
+    # the index is opened anew before every batch, and history is not read again
+    canon = lambda p: with_canonical(rows(p), "text").filter("n_words > 0").drop("text")
+    IncrementalIndex(spark, f"{tmp_path}/index", ["s"], 4).add_history(canon(h))
+    found = []
+    for p in parts[1:]:
+        found += got(IncrementalIndex.open(spark, f"{tmp_path}/index").add_batch(canon(p)), "first_id", "repeat_id")
+    assert sorted(found) == want
+
+
+def test_a_repeat_leans_on_accepted_rows_only(spark):
+    """c says the same as b and not as a, b the same as a: b is no accepted row, so c is none's repeat."""
+    a = "alpha beta gamma delta epsilon zeta theta kappa lambda sigma"
+    b = a.replace("alpha", "alpxha").replace("beta", "bexta").replace("gamma", "gamxma")
+    c = b.replace("delta", "delxta").replace("epsilon", "epsixlon").replace("zeta", "zexta")
+    assert same(canonical(a), canonical(b)) and same(canonical(b), canonical(c)) and not same(canonical(a), canonical(c))
+    rows = lambda p: spark.createDataFrame([(i, "t", x) for i, x in p], "row_id long, s string, text string")
+    r = batch_repeats(rows([(1, a)]), [rows([(2, b), (3, c), (4, c + "!")])], ["s"])
+    assert got(r, "first_id", "repeat_id") == [(1, 2), (3, 4)]
+
+
 def test_components(spark):
     rng = random.Random(4)
     e = [(rng.randint(0, 150), rng.randint(0, 150)) for _ in range(120)] + [(i, i + 1) for i in range(500, 560)]
