@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that mark a claim as factual, regexes of refused secrets, size limit (fixed values).
+#: Words that mark a claim as factual (recalled texts: RECALL_WORDS too), regexes of refused secrets, size limit (fixed values).
 FACT_WORDS = ("$", "balance", "wallet", "ledger")
-SECRETS = (r"ghp_[A-Za-z0-9]{20,}", r"sk-[A-Za-z0-9]{20,}", r"AKIA[0-9A-Z]{16}", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"xox[baprs]-[A-Za-z0-9-]{10,}")
+RECALL_WORDS = ("total",)
+SECRETS = (r"ghp_[A-Za-z0-9]{20,}", r"github_pat_[A-Za-z0-9_]{20,}", r"sk-[A-Za-z0-9]{20,}", r"AKIA[0-9A-Z]{16}", r"-----BEGIN (?:RSA |EC )?PRIVATE KEY-----")
 MAX_CONTENT = 8192
 
 
@@ -28,8 +29,11 @@ def slug(c: Column) -> Column:
 
 def ngrams(ws: Column, n: int) -> Column:
     """Runs of ``n`` neighbouring words, joined by underscores."""
-    at = lambda i: F.concat_ws("_", F.slice(ws, i.cast("int"), n))
-    return F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.size(ws) - (n - 1)), at)).otherwise(F.array().cast("array<string>"))
+    k = F.greatest(F.size(ws) - (n - 1), F.lit(0))
+    out = F.slice(ws, 1, k)
+    for i in range(1, n):
+        out = F.zip_with(out, F.slice(ws, i + 1, k), lambda a, b: F.concat_ws("_", a, b))
+    return out
 
 
 def _prefixed(p: str, ws: Column) -> Column:
@@ -65,11 +69,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (norms <= 1e-8), 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / norms)))
 
 
-def is_factual(content: Column) -> Column:
-    """The text states something that could be checked: money words or a digit."""
+def is_factual(content: Column, more: tuple = ()) -> Column:
+    """The text states something that could be checked: money words (or ``more``) or a digit."""
     low = F.lower(content)
     out = low.rlike("[0-9]")
-    for w in FACT_WORDS:
+    for w in (*FACT_WORDS, *more):
         out = out | low.contains(w)
     return out
 

@@ -2,82 +2,187 @@
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memloom.functions import stages as S
-from memloom.operators.recall import word_neighbours
+from memloom.functions.text import rich_tokens, word_set
+from memloom.operators.order import numbered, windows_before
+from memloom.sources.tables import materialize
+
+
+class _Recent:
+    """Sets of the rows before, and how many elements each shares with a new set."""
+
+    def __init__(self, size: int):
+        self.size, self.lists, self.lens = size, {}, {}
+
+    def shared(self, place: int, elements: list) -> np.ndarray:
+        """Shared elements with the rows at places ``place - size`` to ``place - 1``, earliest first."""
+        lo = place - self.size
+        hit = []
+        for e in elements:
+            at = self.lists.get(e)
+            if at is not None:
+                k = bisect_left(at, lo) if at[0] < lo else 0
+                if k < len(at):
+                    hit.append(np.frombuffer(at, np.int64)[k:].copy())
+        return np.bincount(np.concatenate(hit) - lo, minlength=self.size) if hit else np.zeros(self.size, np.int64)
+
+    def add(self, place: int, elements: list) -> None:
+        for e in elements:
+            self.lists.setdefault(e, array("q")).append(place)
+        self.lens[place] = len(elements)
+
+    def sizes(self, place: int) -> np.ndarray:
+        get = self.lens.get
+        return np.array([get(p, 0) for p in range(place - self.size, place)], np.int64)
+
+
+def _assess(window: int):
+    """Largest word Jaccard (earliest of equal ones) and separation of every row against the ``window`` rows before it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, words, feats, ids = None, None, None, {}
+        for pdf in batches:
+            out = []
+            for scope, chunk, own, place, rid, ws, fs in zip(*(pdf[c].tolist() for c in ("scope", "_chunk", "_own", "ord", "id", "ws", "fs"))):
+                if (scope, chunk) != last:
+                    last, words, feats, ids = (scope, chunk), _Recent(window), _Recent(window), {}
+                ws, fs = ([] if ws is None else list(ws)), ([] if fs is None else list(fs))
+                if own:
+                    i, n = words.shared(place, ws), words.sizes(place)
+                    j = np.where((n > 0) & (len(ws) > 0), i / np.maximum(1, n + len(ws) - i), 0.0)
+                    at = int(np.round(j, 9).argmax())
+                    i, n = feats.shared(place, fs), feats.sizes(place)
+                    # every token is two features; a separator is in no other row
+                    u = np.maximum(1, 2 * (n + len(fs) - i))
+                    worst = [float((2 * i / (u + k)).max()) for k in range(S.SEPARATORS + 1)]
+                    k = next((k for k, x in enumerate(worst) if x <= S.OVERLAP_LIMIT), S.SEPARATORS)
+                    peer = ids.get(place - window + at) if j[at] > 0 else None
+                    out.append((rid, peer, float(j[at]) if peer else 0.0, worst[0], k, worst[k], 1 - worst[k]))
+                words.add(place, ws), feats.add(place, fs)
+                ids[place] = rid
+            yield pd.DataFrame(out, columns=["engram_id", "peer", "jaccard", "overlap", "separators", "overlap_after", "separation"])
+
+    return run
+
+
+def assess(rows: DataFrame, scope: str = "tenant_id", seq: str = "encoded_at_tick", window: int = S.GATE_WINDOW) -> DataFrame:
+    """(engram_id, peer, jaccard, overlap, separators, overlap_after, separation) of every row against the ``window`` rows before it in its scope.
+
+    ``peer`` is the row of the largest word Jaccard, the earliest of equal
+    ones (null without a shared word).  ``overlap`` is the largest Jaccard of
+    features, ``separators`` the number (0-6) of features of its own that bring
+    it to the limit, ``separation`` what is left apart.  Rows before count with
+    their own features, without separators.  Null scopes form one scope; scopes
+    are cut into chunks, so no task holds more than a chunk and its border.
+    """
+    r = rows.select(F.col(scope).alias("scope"), F.col(seq).alias("seq"), F.col("engram_id").alias("id"), word_set(F.col("content")).alias("ws"), rich_tokens(F.col("content"), F.col("context"), F.col("outcome")).alias("fs"))
+    n = numbered(r, "scope", [F.col("seq").asc_nulls_first(), F.col("id").asc()])
+    w = windows_before(n, "scope", window)
+    return w.select("scope", "_chunk", "_own", "ord", "id", "ws", "fs").mapInPandas(_assess(window), "engram_id string, peer string, jaccard double, overlap double, separators int, overlap_after double, separation double")
+
+
+def _free() -> Column:
+    return F.coalesce(F.col("provenance.verified"), F.lit(False)) | F.coalesce(F.col("context").startswith("ledger:"), F.lit(False))
 
 
 def snapshot_gate(rows: DataFrame, scope: str = "tenant_id", seq: str = "encoded_at_tick") -> DataFrame:
-    """(engram_id, peer, jaccard, verdict): each row against the 512 before it, whatever became of those."""
-    near = word_neighbours(rows, scope, seq, floor=S.REVIEW)
-    best = near.groupBy("id").agg(F.max(F.struct(F.round("jaccard", 9).alias("j"), (-F.col("peer_ord")).alias("o"), "peer")).alias("b"))
+    """(engram_id, peer, jaccard, verdict) of rows near one of the 512 before them, whatever became of those."""
+    near = assess(rows, scope, seq).filter(F.round("jaccard", 9) >= S.REVIEW).select(F.col("engram_id").alias("id"), "peer", F.round("jaccard", 9).alias("jaccard"))
     sep = rows.select(F.col("engram_id").alias("peer"), F.coalesce(F.col("separation_index").cast("double"), F.lit(0.0)).alias("sep"))
-    free = rows.filter(F.coalesce(F.col("provenance.verified"), F.lit(False)) | F.coalesce(F.col("context").startswith("ledger:"), F.lit(False))).select(F.col("engram_id").alias("id"), F.lit(True).alias("free"))
-    out = best.select("id", F.col("b.peer").alias("peer"), F.col("b.j").alias("jaccard")).join(sep, "peer").join(free, "id", "left")
+    free = rows.select(F.col("engram_id").alias("id"), _free().alias("free"))
+    out = near.join(sep, "peer").join(free, "id")
     bad = (F.col("jaccard") >= S.REJECT) | (F.greatest("sep", 1 - F.col("jaccard")) < S.MIN_SEPARATION)
     return out.select(F.col("id").alias("engram_id"), "peer", "jaccard", F.when(F.col("free"), "accept").when(bad, "reject").otherwise("accept").alias("verdict"))
 
 
+def near_sets(sets: DataFrame, floor: float, by: str = "scope", key: str = "cls", elements: str = "ws") -> DataFrame:
+    """(by, a, b, jaccard): pairs of different sets of one scope with Jaccard ``floor`` or more, both ways.
+
+    Sets are distinct, so copies of a row never meet here.  Pairs meet on an
+    element among the ceil((1 - floor) n) + 1 rarest of both; sizes must fit.
+    """
+    t = sets.select(by, key, F.size(elements).alias("n"), F.explode(elements).alias("w"))
+    df = t.groupBy(by, "w").agg(F.count(F.lit(1)).alias("df"))
+    ranked = t.join(df, [by, "w"]).groupBy(by, key).agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws"))
+    k = (F.floor((1 - floor) * F.col("n")) + 1).cast("int")
+    pre = ranked.select(by, key, "n", F.explode(F.slice("ws", 1, k)).alias("p")).select(by, key, "n", F.col("p.w").alias("w"))
+    a, b = pre.select(by, F.col(key).alias("a"), F.col("n").alias("na"), "w"), pre.select(by, F.col(key).alias("b"), F.col("n").alias("nb"), "w")
+    pairs = a.join(b, [by, "w"]).filter((F.col("a") != F.col("b")) & (F.col("nb") >= floor * F.col("na")) & (F.col("na") >= floor * F.col("nb"))).select(by, "a", "b").distinct()
+    x = sets.select(by, F.col(key).alias("a"), F.col(elements).alias("xa"))
+    y = sets.select(by, F.col(key).alias("b"), F.col(elements).alias("xb"))
+    i = F.size(F.array_intersect("xa", "xb"))
+    j = F.round(i / (F.size("xa") + F.size("xb") - i), 9)
+    return pairs.join(x, [by, "a"]).join(y, [by, "b"]).select(by, "a", "b", j.alias("jaccard")).filter(F.col("jaccard") >= floor)
+
+
 def _walk(window: int):
+    """Verdicts of rows that have a near class, in order; ``ord`` less the rejected before is a row's place among the accepted."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, accepted, recent = None, {}, deque()
+        last, classes, recent, rejected = None, {}, deque(), 0
         for pdf in batches:
             out = []
-            for scope, rid, free, peers in zip(pdf["scope"], pdf["id"], pdf["free"], pdf["peers"]):
+            for scope, place, rid, free, sep, cls, near in zip(*(pdf[c].tolist() for c in ("scope", "ord", "id", "free", "sep", "cls", "near"))):
                 if scope != last:
-                    last, accepted, recent, place = scope, {}, deque(), 0
+                    last, classes, recent, rejected = scope, {}, deque(), 0
+                here = place - rejected
+                while recent and here - recent[0][0] > window:
+                    _, c = recent.popleft()
+                    classes[c].popleft()
+                    if not classes[c]:
+                        del classes[c]
                 best = None
-                for p in peers if peers is not None else []:
-                    at = accepted.get(p["peer"])
-                    if at is not None and place - at[0] <= window:
-                        j = (round(p["jaccard"], 9), -at[0], at[1], p["peer"])
-                        best = j if best is None or j[:2] > best[:2] else best
-                ok = bool(free) or best is None or not (best[0] >= S.REJECT or (best[0] >= S.REVIEW and max(best[2], 1 - best[0]) < S.MIN_SEPARATION))
+                for j, c in [(1.0, cls), *((p["jaccard"], p["b"]) for p in (near if near is not None else []))]:
+                    if c in classes:
+                        # the earliest accepted row of a class stands for it
+                        at, osep, oid = classes[c][0]
+                        if best is None or (j, -at) > best[:2]:
+                            best = (j, -at, osep, oid)
+                ok = bool(free) or best is None or not (best[0] >= S.REJECT or max(best[2], 1 - best[0]) < S.MIN_SEPARATION)
                 if ok:
-                    accepted[rid] = (place, 1 - (best[0] if best else 0.0))
-                    recent.append(rid)
-                    place += 1
-                    if len(recent) > window:
-                        del accepted[recent.popleft()]
+                    classes.setdefault(cls, deque()).append((here, sep, rid))
+                    recent.append((here, cls))
+                else:
+                    rejected += 1
                 out.append((rid, best[3] if best else None, best[0] if best else None, ok))
-            yield pd.DataFrame(out, columns=["engram_id", "peer", "jaccard", "accepted"])
+            yield pd.DataFrame(out, columns=["engram_id", "peer", "jaccard", "accepted"]).astype({"peer": object, "jaccard": "float64"})
 
     return run
 
 
 def ordered_gate(rows: DataFrame, scope: str = "tenant_id", seq: str = "encoded_at_tick", window: int = S.GATE_WINDOW) -> DataFrame:
-    """Verdicts in order: a row meets only rows accepted before it, the last ``window`` of them.
+    """(engram_id, peer, jaccard, accepted): verdicts in order; a row meets only rows accepted before it, the last ``window`` of them.
 
-    The pairs at or over the review limit are found with all earlier rows (a
-    superset of any window); a walk in row order over these few pairs decides.
-    A task holds the last ``window`` accepted ids of one scope.
+    Rows of equal word sets are one class, and only classes at or over the
+    review limit are paired, so copies give no pairs.  Rows without a near
+    class are accepted where they lie; the others pass, scope by scope, through
+    a walk in order that holds the last ``window`` accepted rows.
     """
-    near = word_neighbours(rows, scope, seq, window=1 << 30, floor=S.REVIEW).groupBy("id").agg(F.collect_list(F.struct("peer", "jaccard")).alias("peers"))
-    free = F.coalesce(F.col("provenance.verified"), F.lit(False)) | F.coalesce(F.col("context").startswith("ledger:"), F.lit(False))
-    r = rows.select(F.coalesce(scope, F.lit("")).alias("scope"), F.col(seq).alias("seq"), F.col("engram_id").alias("id"), free.alias("free"))
-    return r.join(near, "id", "left").repartition("scope").sortWithinPartitions("scope", "seq", "id").select("scope", "id", "free", "peers").mapInPandas(_walk(window), "engram_id string, peer string, jaccard double, accepted boolean")
+    r = rows.select(F.coalesce(scope, F.lit("")).alias("scope"), F.col(seq).alias("seq"), F.col("engram_id").alias("id"), _free().alias("free"), F.coalesce(F.col("separation_index").cast("double"), F.lit(0.0)).alias("sep"), F.array_sort(word_set(F.col("content"))).alias("ws"))
+    r = r.withColumn("cls", F.when(F.size("ws") > 0, F.xxhash64("scope", "ws")))
+    n = materialize(numbered(r, "scope", [F.col("seq").asc_nulls_first(), F.col("id").asc()]), "numbered")
+    sets = materialize(n.filter("cls is not null").groupBy("scope", "cls").agg(F.first("ws").alias("ws"), F.count(F.lit(1)).alias("copies")), "classes")
+    near = near_sets(sets.drop("copies"), S.REVIEW).groupBy("scope", F.col("a").alias("cls")).agg(F.collect_list(F.struct("jaccard", "b")).alias("near"))
+    busy = sets.select("scope", "cls", "copies").join(near, ["scope", "cls"], "left").filter("copies > 1 or near is not null").drop("copies")
+    j = materialize(n.drop("ws").join(busy.withColumn("busy", F.lit(True)), ["scope", "cls"], "left"), "judged")
+    quiet = j.filter("busy is null").select(F.col("id").alias("engram_id"), F.lit(None).cast("string").alias("peer"), F.lit(None).cast("double").alias("jaccard"), F.lit(True).alias("accepted"))
+    loud = j.filter("busy").repartition("scope").sortWithinPartitions("scope", "ord").select("scope", "ord", "id", "free", "sep", "cls", "near").mapInPandas(_walk(window), "engram_id string, peer string, jaccard double, accepted boolean")
+    return quiet.unionByName(loud)
 
 
 def separation_index(rows: DataFrame, scope: str = "tenant_id", seq: str = "encoded_at_tick") -> DataFrame:
-    """(engram_id, overlap, separators, separation): how many unique features (0-6) bring the largest overlap to the limit, and what is left."""
-    near = word_neighbours(rows, scope, seq, floor=S.OVERLAP_LIMIT)
-    n = rows.select(F.col("engram_id").alias("id"), F.size(F.expr("array_distinct(filter(split(lower(coalesce(content, '')), '\\\\s+'), x -> x <> ''))")).alias("na"))
-    p = near.join(n, "id").join(n.toDF("peer", "nb"), "peer")
-    inter = F.round(F.col("jaccard") * (F.col("na") + F.col("nb")) / (1 + F.col("jaccard")))
-    p = p.select("id", inter.alias("i"), (F.col("na") + F.col("nb") - inter).alias("u"))
-    worst = p.groupBy("id").agg(F.max(F.col("i") / F.col("u")).alias("overlap"), *[F.max(F.col("i") / (F.col("u") + k)).alias(f"j{k}") for k in range(S.SEPARATORS + 1)])
-    need = F.lit(S.SEPARATORS)
-    left = F.col(f"j{S.SEPARATORS}")
-    for k in range(S.SEPARATORS - 1, -1, -1):
-        ok = F.col(f"j{k}") <= S.OVERLAP_LIMIT
-        need, left = F.when(ok, k).otherwise(need), F.when(ok, F.col(f"j{k}")).otherwise(left)
-    return worst.select(F.col("id").alias("engram_id"), "overlap", need.alias("separators"), (1 - left).alias("separation"))
+    """(engram_id, overlap, separators, separation) of every row, also of those that overlap with none."""
+    return assess(rows, scope, seq).select("engram_id", "overlap", "separators", "separation")
 
 
 def insert_once(new: DataFrame, stored: DataFrame) -> DataFrame:

@@ -1,17 +1,25 @@
 """Inverted index, seeds, hybrid candidates and scored recall for batches of cues.
 
-A batch of cues is small and its size is checked before it is broadcast; rows
-and postings never are.  Every ranking has a total order with the row id last.
+Seeds come from block scoring (``blocks``): every row is scored where it lies
+against all cues, and only the k best of each cue leave a partition.  All later
+steps work on the candidates, at most LEXICAL_SEEDS + VECTOR_SEEDS a cue.
+Every ranking has a total order with the row id last.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from memloom.functions import stages as S
-from memloom.functions.text import cosine, cue_tokens, rich_tokens, word_set, words
+from memloom.functions.features import bound, granules
+from memloom.functions.text import RECALL_WORDS, cosine, cue_tokens, is_factual, rich_tokens, words
+from memloom.operators.blocks import best_rows, cue_blocks, vector_scorer, word_scorer
+from memloom.sources.tables import materialize, spread as over_cores
 
 MAX_BROADCAST_CUES = 4096
 
@@ -26,37 +34,79 @@ def postings(rows: DataFrame) -> DataFrame:
     return rows.select("engram_id", F.explode(rich_tokens(F.col("content"), F.col("context"), F.col("outcome"))).alias("token"))
 
 
-def lexical_hits(rows: DataFrame, cues: DataFrame) -> DataFrame:
-    """(cue_id, engram_id, hits): cue words of more than two bytes found in the row; a word repeated in the cue counts each time."""
-    long = lambda c: F.filter(words(c), lambda x: F.octet_length(x) > 2)
-    c = small(cues.select("cue_id", F.explode(long(F.col("cue"))).alias("word")).groupBy("cue_id", "word").agg(F.count(F.lit(1)).alias("times")))
-    p = rows.select("engram_id", F.explode(F.array_distinct(long(F.col("content")))).alias("word"))
-    return p.join(c, "word").groupBy("cue_id", "engram_id").agg(F.sum("times").alias("hits"))
+def long_words(c: Column) -> Column:
+    return F.filter(words(c), lambda x: F.octet_length(x) > 2)
 
 
-def top(df: DataFrame, by: str, order: list[Column], k: int) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)
+def _lists(block: list, of) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Word to (cue numbers, weights) for a block of cues; ``of`` gives a cue's words and weights."""
+    at: dict[str, tuple[list, list]] = {}
+    for i, c in enumerate(block):
+        for w, x in of(c).items():
+            p = at.setdefault(w, ([], []))
+            p[0].append(i)
+            p[1].append(x)
+    return {w: (np.array(i, np.int64), np.array(x, np.float64)) for w, (i, x) in at.items()}
+
+
+def _counted(ws: list) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for w in ws:
+        out[w] = out.get(w, 0) + 1
+    return out
+
+
+def lexical_seeds(rows: DataFrame, cues: DataFrame, k: int = S.LEXICAL_SEEDS, agents: bool = False) -> DataFrame:
+    """(cue_id, engram_id, hits, rank): the rows with most words of the cue (over two bytes); a word repeated in the cue counts each time.
+
+    ``agents`` restricts every cue to the rows of its agent_id.
+    """
+    kept = ["engram_id", *(["agent_id"] if agents else [])]
+    r = over_cores(rows).select(*kept, F.array_distinct(long_words(F.col("content"))).alias("ws"))
+    out = None
+    for block in cue_blocks(cues.select("cue_id", *(["agent_id"] if agents else []), long_words(F.col("cue")).alias("ws"))):
+        allowed = None
+        if agents:
+            mine: dict = {}
+            for i, c in enumerate(block):
+                if c["agent_id"] is not None:
+                    mine.setdefault(c["agent_id"], []).append(i)
+            allowed = {a: np.array(x, np.int64) for a, x in mine.items()}
+        got = best_rows(r, block, k, word_scorer(_lists(block, lambda c: _counted(c["ws"])), len(block), allowed=allowed))
+        out = got if out is None else out.unionByName(got)
+    return out.select("cue_id", "engram_id", F.col("score").cast("long").alias("hits"), "rank")
 
 
-def lexical_seeds(rows: DataFrame, cues: DataFrame, k: int = S.LEXICAL_SEEDS) -> DataFrame:
-    return top(lexical_hits(rows, cues), "cue_id", [F.desc("hits"), F.col("engram_id")], k)
+def top(df: DataFrame, by: str, order: list[Column], k: int) -> DataFrame:
+    return df.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)
 
 
 def bm25(rows: DataFrame, cues: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(cue_id, engram_id, score, rank): BM25 over the distinct words of a cue."""
-    w = rows.select("engram_id", words(F.col("content")).alias("ws"))
-    length = w.select("engram_id", F.size("ws").alias("len"))
-    stats = length.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-    c = small(cues.select("cue_id", F.explode(F.array_distinct(words(F.col("cue")))).alias("word")))
-    terms = small(c.select("word").distinct())
-    tf = w.select("engram_id", F.size("ws").alias("len"), F.explode("ws").alias("word")).join(terms, "word", "left_semi").groupBy("engram_id", "len", "word").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    # one row of corpus totals
-    t = tf.join(df, "word").crossJoin(F.broadcast(stats))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    t = t.select("engram_id", "word", (idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))).alias("s"))
-    scored = t.join(c, "word").groupBy("cue_id", "engram_id").agg(F.sum("s").alias("score"))
-    return top(scored, "cue_id", [F.desc(F.round("score", 9)), F.col("engram_id")], k)
+    r = over_cores(rows).select("engram_id", words(F.col("content")).alias("ws"))
+    total = r.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("ws")).alias("avg_len")).first()
+    out = None
+    for block in cue_blocks(cues.select("cue_id", F.array_distinct(words(F.col("cue"))).alias("ws"))):
+        vocabulary = sorted({w for c in block for w in c["ws"]})
+        # the words of a block of cues, with a size bound through that of the block
+        terms = r.sparkSession.createDataFrame([(w,) for w in vocabulary], "word string") if vocabulary else r.select(F.lit("").alias("word")).limit(0)
+        df = r.select(F.explode(F.array_distinct("ws")).alias("word")).join(small(terms) if len(vocabulary) <= 100_000 else terms, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+        idf = {x["word"]: math.log(1 + (total["n"] - x["df"] + 0.5) / (x["df"] + 0.5)) for x in df.collect()}
+        lists = {w: (i, x * idf[w]) for w, (i, x) in _lists(block, lambda c: dict.fromkeys(c["ws"], 1.0)).items() if w in idf}
+        avg = total["avg_len"] or 1.0
+
+        def score(pdf, lists=lists, n=len(block), avg=avg):
+            for rid, ws in zip(pdf["engram_id"].tolist(), pdf["ws"].tolist()):
+                tf = _counted([w for w in ws if w in lists])
+                if tf:
+                    norm = k1 * (1 - b + b * len(ws) / avg)
+                    got = np.bincount(np.concatenate([lists[w][0] for w in tf]), np.concatenate([lists[w][1] * (t * (k1 + 1) / (t + norm)) for w, t in tf.items()]), n)
+                    at = np.flatnonzero(got > 0)
+                    yield at, got[at], np.full(len(at), rid, dtype=object)
+
+        got = best_rows(r, block, k, score)
+        out = got if out is None else out.unionByName(got)
+    return out.select("cue_id", "engram_id", "score", "rank")
 
 
 def vector_hits(rows: DataFrame, queries: DataFrame, floor: float = 0.05) -> DataFrame:
@@ -69,47 +119,139 @@ def vector_hits(rows: DataFrame, queries: DataFrame, floor: float = 0.05) -> Dat
     return rows.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", "label", sim.alias("sim")).filter(F.col("sim") > floor)
 
 
-def vector_topk(rows: DataFrame, queries: DataFrame, k: int, floor: float = 0.05) -> DataFrame:
-    return top(vector_hits(rows, queries, floor), "query_id", [F.desc(F.round("sim", 9)), F.col("vec_id")], k)
+def vector_topk(rows: DataFrame, queries: DataFrame, k: int, floor: float = S.SIM_FLOOR, dim: int = 64) -> DataFrame:
+    """(query_id, vec_id, label, sim, rank): the k most similar other rows of every query, of cosine over ``floor``."""
+    r = over_cores(rows).select("vec_id", F.col("embedding").alias("vec"))
+    out = None
+    for block in cue_blocks(queries.select(F.col("vec_id").alias("cue_id"), F.col("embedding").alias("vector"))):
+        got = best_rows(r, block, k, vector_scorer(block, dim, floor, id_col="vec_id", skip_same=True), "vec_id")
+        out = got if out is None else out.unionByName(got)
+    return out.join(rows.select("vec_id", "label"), "vec_id").select(F.col("cue_id").alias("query_id"), "vec_id", "label", F.col("score").alias("sim"), "rank")
 
 
-def overlap_scores(rows: DataFrame, cues: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
-    """(cue_id, engram_id, matched, cue_size): tokens a row shares with a cue, over ``candidates`` (cue_id, engram_id) if given."""
-    c = cues.select("cue_id", cue_tokens(F.col("cue")).alias("ts"))
-    c = small(c.select("cue_id", F.size("ts").alias("cue_size"), F.explode("ts").alias("token")))
-    p = postings(rows if candidates is None else rows.join(candidates.select("engram_id").distinct(), "engram_id", "left_semi"))
-    hit = p.join(c, "token")
-    if candidates is not None:
-        hit = hit.join(candidates.select("cue_id", "engram_id"), ["cue_id", "engram_id"], "left_semi")
-    return hit.groupBy("cue_id", "engram_id").agg(F.count(F.lit(1)).alias("matched"), F.first("cue_size").alias("cue_size"))
+def vector_seeds(rows: DataFrame, cues: DataFrame, k: int = S.VECTOR_SEEDS, dim: int = 64) -> DataFrame:
+    """(cue_id, engram_id, sim, rank): the k rows whose ``vector`` is most similar to the cue's, of cosine over the floor."""
+    r = over_cores(rows).select("engram_id", F.col("vector").alias("vec"))
+    out = None
+    for block in cue_blocks(cues.select("cue_id", "vector")):
+        got = best_rows(r, block, k, vector_scorer(block, dim, S.SIM_FLOOR))
+        out = got if out is None else out.unionByName(got)
+    return out.select("cue_id", "engram_id", F.col("score").alias("sim"), "rank")
 
 
-def recall(rows: DataFrame, cues: DataFrame, k: int = S.TOP_K, scope: str | None = None) -> DataFrame:
-    """(cue_id, engram_id, activation, rank): the k best rows of every cue.
+def hybrid_candidates(rows: DataFrame, cues: DataFrame, agents: bool = False, dim: int = 64) -> DataFrame:
+    """(cue_id, engram_id): lexical and vector seeds together, each pair once."""
+    c = lexical_seeds(rows, cues, agents=agents).select("cue_id", "engram_id")
+    if "vector" in rows.columns and "vector" in cues.columns:
+        v = vector_seeds(rows, cues, dim=dim).select("cue_id", "engram_id")
+        if agents:
+            mine = cues.select("cue_id", F.col("agent_id").alias("_a"))
+            v = v.join(rows.select("engram_id", "agent_id"), "engram_id").join(mine, "cue_id").filter("agent_id = _a").select("cue_id", "engram_id")
+        c = c.unionByName(v)
+    return c.distinct()
 
-    Candidates are the lexical seeds.  The score weighs the share of the cue's
-    tokens found and the number of matched features (two per token); verified
-    rows gain a boost.  ``scope`` 'pre' restricts rows to the cue's agent_id
-    before the seeds, 'post' filters after the cut, so fewer than k may remain.
+
+def pair_overlap(rows: DataFrame, cues: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(cue_id, engram_id, matched, cue_size): tokens a row shares with a cue, for ``pairs`` only.
+
+    Every token stands for two granules and pair bindings never equal a cue's
+    features, so the share of tokens is the share of features.
     """
-    seeds_from, mine = rows, None
-    if scope == "pre":
-        mine = small(cues.select("cue_id", F.col("agent_id").alias("cue_agent")))
-        hits = lexical_hits(seeds_from, cues).join(rows.select("engram_id", "agent_id"), "engram_id").join(mine, "cue_id").filter("agent_id = cue_agent").select("cue_id", "engram_id", "hits")
-        cand = top(hits, "cue_id", [F.desc("hits"), F.col("engram_id")], S.LEXICAL_SEEDS)
+    c = small(cues.select("cue_id", cue_tokens(F.col("cue")).alias("cts")))
+    r = rows.join(pairs.select("engram_id").distinct(), "engram_id", "left_semi").select("engram_id", rich_tokens(F.col("content"), F.col("context"), F.col("outcome")).alias("ts"))
+    hit = pairs.select("cue_id", "engram_id").join(r, "engram_id").join(c, "cue_id")
+    return hit.select("cue_id", "engram_id", F.size(F.array_intersect("cts", "ts")).cast("long").alias("matched"), F.size("cts").alias("cue_size"))
+
+
+def cue_features(cues: DataFrame, life: Column) -> DataFrame:
+    """(cue_id, node): features of every cue."""
+    return cues.select("cue_id", F.explode(granules(cue_tokens(F.col("cue")), life)).alias("node"))
+
+
+def activated_sums(rows: DataFrame, pairs: DataFrame, act: DataFrame, life: Column) -> DataFrame:
+    """(cue_id, engram_id, energy): activation summed over the bound features of a row, for ``pairs`` only."""
+    r = over_cores(rows).join(pairs.select("engram_id").distinct(), "engram_id", "left_semi").select("engram_id", granules(rich_tokens(F.col("content"), F.col("context"), F.col("outcome")), life).alias("dg"))
+    r = materialize(r.select("engram_id", bound(F.col("dg")).alias("fs")), "bound")
+    hit = pairs.select("cue_id", "engram_id").join(r, "engram_id").repartition("cue_id", "engram_id").select("cue_id", "engram_id", F.explode("fs").alias("node"))
+    return hit.join(act, ["cue_id", "node"]).groupBy("cue_id", "engram_id").agg(F.sum("activation").alias("energy"))
+
+
+def recall(rows: DataFrame, cues: DataFrame, k: int = S.TOP_K, scope: str | None = None, edges: DataFrame | None = None, stage: int = 2, boosts: DataFrame | None = None, dim: int = 64) -> DataFrame:
+    """(cue_id, engram_id, verified, activation, rank): the k best rows of every cue.
+
+    Candidates are the lexical and, where rows and cues have a ``vector``, the
+    vector seeds.  The score weighs the share of the cue's features found, the
+    activation of the row's features after HOPS rounds along ``edges`` (that of
+    the cue alone without edges) and the cosine; verified rows gain a boost,
+    and so does every row of a cue in ``boosts`` (cue_id, boost).  ``scope``
+    'pre' restricts rows to the cue's agent_id before the seeds, 'post' filters
+    after the cut, so fewer than k may remain.
+    """
+    cand = materialize(hybrid_candidates(rows, cues, scope == "pre", dim), "candidates")
+    life = F.lit("life")
+    seeds = cue_features(cues, life).withColumn("activation", F.lit(1.0))
+    act = seeds if edges is None else materialize(spread(seeds, edges, S.SPREAD * max(S.STAGES[stage][2], 0.1)), "activation")
+    o = pair_overlap(rows, cues, cand)
+    if edges is None:
+        # every matched token has two features of activation one
+        s = o.withColumn("energy", 2.0 * F.col("matched"))
     else:
-        cand = lexical_seeds(rows, cues)
-    o = overlap_scores(rows, cues, cand)
-    meta = rows.select("engram_id", "agent_id", F.coalesce(F.col("provenance.verified"), F.lit(False)).alias("verified"))
-    s = o.join(meta, "engram_id").withColumn("activation", S.W_OVERLAP * F.col("matched") / F.col("cue_size") + S.W_ACTIVATION * 2 * F.col("matched"))
-    s = s.filter(F.col("activation") > S.SCORE_FLOOR)
-    cut = top(s, "cue_id", [F.desc(F.round("activation", 9)), F.col("engram_id")], k)
-    cut = cut.withColumn("activation", F.col("activation") + F.when(F.col("verified"), S.VERIFIED_BOOST).otherwise(0.0)).drop("rank")
+        s = o.join(activated_sums(rows, cand, act, life), ["cue_id", "engram_id"], "left")
+    meta = rows.select("engram_id", "agent_id", F.coalesce(F.col("provenance.verified"), F.lit(False)).alias("verified"), *(["vector"] if "vector" in rows.columns else []))
+    s = s.join(meta, "engram_id")
+    sim = F.lit(0.0)
+    if "vector" in rows.columns and "vector" in cues.columns:
+        s = s.join(small(cues.select("cue_id", F.col("vector").alias("_q"))), "cue_id")
+        # usable vectors have ``dim`` finite numbers; both sides, as in the seeds
+        ok = lambda c: F.coalesce((F.size(c) == dim) & ~F.exists(c, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) > 3.5e38)), F.lit(False))
+        sim = F.when(ok(F.col("vector")) & ok(F.col("_q")), cosine(F.col("vector"), F.col("_q"))).otherwise(0.0)
+        sim = F.when(sim > S.SIM_FLOOR, sim).otherwise(0.0)
+    s = s.withColumn("activation", S.W_OVERLAP * F.col("matched") / F.greatest("cue_size", F.lit(1)) + S.W_ACTIVATION * F.coalesce("energy", F.lit(0.0)) + S.W_COSINE * sim)
+    cut = top(s.filter(F.col("activation") > S.SCORE_FLOOR), "cue_id", [F.desc(F.round("activation", 9)), F.col("engram_id")], k).drop("rank")
+    if boosts is not None:
+        cut = cut.join(boosts, "cue_id", "left").withColumn("activation", F.col("activation") + S.BOOST_RATE * F.coalesce("boost", F.lit(0.0)))
+    cut = cut.withColumn("activation", F.col("activation") + F.when(F.col("verified"), S.VERIFIED_BOOST).otherwise(0.0))
     if scope == "post":
         cut = cut.join(small(cues.select("cue_id", F.col("agent_id").alias("cue_agent"))), "cue_id").filter("agent_id = cue_agent")
     return top(cut, "cue_id", [F.desc(F.round("activation", 9)), F.col("engram_id")], k).select("cue_id", "engram_id", "verified", "activation", "rank")
 
 
+def ledger_rows(rows: DataFrame) -> DataFrame:
+    """(tenant_id, engram_id): the row that speaks for a tenant's ledger.
+
+    The row referred to as (ledger, wallet-balance), else the verified ledger
+    row about a wallet, balance or ledger of the greatest salience; of equal
+    ones the largest id.
+    """
+    low = F.lower(F.coalesce("content", F.lit("")))
+    about = F.lit(False)
+    for w in S.LEDGER_ROWS:
+        about = about | low.contains(w)
+    named = F.coalesce((F.col("rag.doc_id") == "ledger") & (F.col("rag.chunk_id") == "wallet-balance"), F.lit(False))
+    ledger = F.coalesce(F.col("context").startswith("ledger:"), F.lit(False)) | (F.lower(F.trim(F.coalesce("provenance.kind", F.lit("")))) == "ledger_verified")
+    ok = named | (F.coalesce(F.col("provenance.verified"), F.lit(False)) & ledger & about)
+    sal = F.round(F.coalesce(F.nanvl(F.col("salience"), F.lit(0.0)).cast("double"), F.lit(0.0)), 6)
+    return rows.filter(ok).groupBy("tenant_id").agg(F.max(F.struct(named.alias("n"), F.when(named, 0.0).otherwise(sal).alias("s"), "engram_id"))["engram_id"].alias("engram_id"))
+
+
+def prefer_ledger(recalled: DataFrame, cues: DataFrame, rows: DataFrame, k: int = S.TOP_K) -> DataFrame:
+    """``recalled`` with the ledger row of the cue's tenant first, where the cue asks for money: five more on at least five, or ten if it was not recalled."""
+    low = F.lower("cue")
+    asks = F.lit(False)
+    for w in S.LEDGER_CUES:
+        asks = asks | low.contains(w)
+    truth = cues.filter(asks).select("cue_id", "tenant_id").join(ledger_rows(rows), "tenant_id").select("cue_id", "engram_id", F.lit(True).alias("_l"))
+    j = recalled.select("cue_id", "engram_id", "verified", "activation").join(truth, ["cue_id", "engram_id"], "full")
+    boosted = F.when(F.col("_l").isNull(), F.col("activation")).when(F.col("activation").isNull(), 10.0).otherwise(F.greatest("activation", F.lit(5.0)) + 5.0)
+    j = j.select("cue_id", "engram_id", (F.coalesce("verified", F.lit(False)) | F.coalesce("_l", F.lit(False))).alias("verified"), boosted.alias("activation"))
+    return top(j, "cue_id", [F.desc(F.round("activation", 9)), F.col("engram_id")], k)
+
+
+def trust_of_recalled(content: Column, verified: Column) -> Column:
+    """The note on a recalled row that states facts without being verified."""
+    return F.when(~verified & is_factual(content, RECALL_WORDS), F.lit("recalled utterance — not verified ground truth; check ledger/tools"))
+
+
 def spread(seeds: DataFrame, edges: DataFrame, factor: float, hops: int = S.HOPS) -> DataFrame:
     """(cue_id, node, activation) after ``hops`` synchronous rounds along directed weighted edges.
 
@@ -128,29 +270,33 @@ def spread(seeds: DataFrame, edges: DataFrame, factor: float, hops: int = S.HOPS
 
 
 def complete(rows: DataFrame, cues: DataFrame, floor: float = 0.2) -> DataFrame:
-    """(cue_id, engram_id, overlap): the one row of largest overlap, if over ``floor``; ties go to the later tick, then the larger id."""
-    o = overlap_scores(rows, cues).join(rows.select("engram_id", F.coalesce("encoded_at_tick", F.lit(0)).alias("tick")), "engram_id")
-    o = o.withColumn("overlap", F.col("matched") / F.col("cue_size")).filter(F.col("overlap") > floor)
-    return o.groupBy("cue_id").agg(F.max(F.struct(F.round("overlap", 9).alias("o"), "tick", "engram_id")).alias("b")).select("cue_id", F.col("b.engram_id").alias("engram_id"), F.col("b.o").alias("overlap"))
-
-
-def word_neighbours(rows: DataFrame, scope: str, seq: str, window: int = S.GATE_WINDOW, floor: float = 0.0) -> DataFrame:
-    """(id, peer, jaccard): word Jaccard of each row with the rows up to ``window`` places before it in its scope.
+    """(cue_id, engram_id, overlap): the one row of largest overlap, if over ``floor``; ties go to the later tick, then the larger id.
 
-    Pairs meet on a shared word.  A prefix filter keeps that narrow: with
-    ``floor`` t, only the ceil((1-t)·n)+1 rarest words of a row are indexed.
+    Rows are scored in blocks; only each partition's best row of a cue leaves it.
     """
-    r = rows.select(scope, seq, F.col("engram_id").alias("id"), word_set(F.col("content")).alias("ws")).filter(F.size("ws") > 0)
-    r = r.withColumn("ord", F.row_number().over(W.partitionBy(scope).orderBy(seq, "id"))).withColumn("n", F.size("ws"))
-    tok = r.select(scope, "id", "ord", "n", F.explode("ws").alias("w"))
-    df = tok.groupBy(scope, "w").agg(F.count(F.lit(1)).alias("df"))
-    rank = F.row_number().over(W.partitionBy("id").orderBy("df", "w"))
-    pre = tok.join(df, [scope, "w"]).withColumn("k", rank).filter(F.col("k") <= F.floor((1 - floor) * F.col("n")) + 1)
-    a, b = pre.alias("a"), pre.alias("b")
-    near = (F.col(f"a.{scope}") == F.col(f"b.{scope}")) & (F.col("a.w") == F.col("b.w")) & F.col("b.ord").between(F.col("a.ord") - window, F.col("a.ord") - 1)
-    sized = (F.col("b.n") >= floor * F.col("a.n")) & (F.col("a.n") >= floor * F.col("b.n"))
-    pairs = a.join(b, near & sized).select(F.col("a.id").alias("id"), F.col("b.id").alias("peer")).distinct()
-    w = r.select("id", "ws", "ord")
-    j = pairs.join(w, "id").join(w.select(F.col("id").alias("peer"), F.col("ws").alias("pws"), F.col("ord").alias("peer_ord")), "peer")
-    inter = F.size(F.array_intersect("ws", "pws"))
-    return j.select("id", "peer", "peer_ord", (inter / (F.size("ws") + F.size("pws") - inter)).alias("jaccard")).filter(F.col("jaccard") >= floor)
+    r = over_cores(rows).select("engram_id", F.coalesce("encoded_at_tick", F.lit(0)).alias("tick"), rich_tokens(F.col("content"), F.col("context"), F.col("outcome")).alias("ws"))
+    out = None
+    for block in cue_blocks(cues.select("cue_id", cue_tokens(F.col("cue")).alias("ws"))):
+        lists, sizes, names = _lists(block, lambda c: dict.fromkeys(c["ws"], 1.0)), np.array([max(1, len(c["ws"])) for c in block], float), [c["cue_id"] for c in block]
+        n = len(block)
+
+        def run(batches, lists=lists, sizes=sizes, names=names, n=n):
+            import pandas as pd
+
+            best, tick, rid = np.full(n, floor), np.zeros(n, np.int64), np.empty(n, object)
+            for pdf in batches:
+                for i, t, ws in zip(pdf["engram_id"].tolist(), pdf["tick"].tolist(), pdf["ws"].tolist()):
+                    hit = [lists[w][0] for w in ws if w in lists]
+                    if not hit:
+                        continue
+                    share = np.round(np.bincount(np.concatenate(hit), minlength=n) / sizes, 9)
+                    for c in np.flatnonzero((share > best) | ((share == best) & (share > floor))).tolist():
+                        if share[c] > best[c] or (t, i) > (tick[c], rid[c]):
+                            best[c], tick[c], rid[c] = share[c], t, i
+            at = [c for c in range(n) if rid[c] is not None]
+            if at:
+                yield pd.DataFrame({"cue_id": [names[c] for c in at], "engram_id": rid[at], "tick": tick[at], "o": best[at]})
+
+        got = r.mapInPandas(run, "cue_id string, engram_id string, tick long, o double")
+        out = got if out is None else out.unionByName(got)
+    return out.groupBy("cue_id").agg(F.max(F.struct("o", "tick", "engram_id")).alias("b")).select("cue_id", F.col("b.engram_id").alias("engram_id"), F.col("b.o").alias("overlap"))

@@ -62,9 +62,9 @@ def test_gate_fixtures(spark):
 def test_ordered_gate_equals_a_plain_walk(spark):
     rng = random.Random(5)
     vocab = [f"w{i}" for i in range(14)]
-    items = [{"content": " ".join(rng.choice(vocab) for _ in range(rng.randint(3, 9))), "tenant_id": rng.choice(["a", "b", None])} for _ in range(160)]
-    got = {x["engram_id"]: x["accepted"] for x in gate.ordered_gate(rows(spark, items).filter("tenant_id is not null"), window=20).collect()}
-    for tenant in ("a", "b"):
+    items = [{"content": " ".join(rng.choice(vocab) for _ in range(rng.randint(3, 9))), "tenant_id": rng.choice(["a", "b", None]), "separation_index": rng.choice([0.125, 0.25, 0.5, 1.0])} for _ in range(160)]
+    got = {x["engram_id"]: x["accepted"] for x in gate.ordered_gate(rows(spark, items), window=20).collect()}
+    for tenant in ("a", "b", None):
         kept = []
         for i, it in enumerate(items):
             if it["tenant_id"] != tenant:
@@ -77,7 +77,45 @@ def test_ordered_gate_equals_a_plain_walk(spark):
             ok = best is None or not (best[0] >= S.REJECT or max(best[1], 1 - best[0]) < S.MIN_SEPARATION)
             assert got[f"e{i:03d}"] == ok
             if ok:
-                kept.append((ws, 1 - (best[0] if best else 0)))
+                kept.append((ws, it["separation_index"]))
+
+
+def test_ordered_gate_of_copies_is_linear(spark):
+    """Twenty thousand equal rows of one tenant: the first and, each time it has left the window, no other is accepted."""
+    r = spark.range(20_000).selectExpr("lpad(cast(id as string), 6, '0') engram_id", "'t' tenant_id", "'the same words again and again' content", "'c' context", "cast(null as string) outcome", "id encoded_at_tick", "cast(1 as float) separation_index", "cast(null as struct<kind:string,verified:boolean>) provenance")
+    g = gate.ordered_gate(r)
+    assert g.filter("accepted").count() == 1 and g.count() == 20_000
+
+
+def test_assess_against_all_rows_before(spark):
+    """Chunks with borders see the same rows as a plain scan."""
+    from memloom.operators import order
+
+    rng = random.Random(9)
+    items = [{"content": " ".join(rng.choice("abcdefghij") * 3 for _ in range(rng.randint(0, 6))), "tenant_id": rng.choice(["a", None])} for _ in range(120)]
+    w = order.windows_before
+    try:
+        gate.windows_before = lambda r, s, n: w(r, s, n, 16)
+        got = {x["engram_id"]: x for x in gate.assess(rows(spark, items), window=10).collect()}
+    finally:
+        gate.windows_before = w
+    for tenant in ("a", None):
+        seen = []
+        for i, it in enumerate(items):
+            if it["tenant_id"] != tenant:
+                continue
+            ws = set(it["content"].split())
+            best = max((round(len(ws & p) / len(ws | p), 9) if ws and p else 0.0 for p in seen[-10:]), default=0.0)
+            assert got[f"e{i:03d}"]["jaccard"] == pytest.approx(best)
+            seen.append(ws)
+
+
+def test_numbered_places(spark):
+    from memloom.operators.order import numbered
+
+    d = spark.createDataFrame([(g, i) for i in range(500) for g in ("a", None, "c")], "g string, i int").repartition(7)
+    n = numbered(d, "g", ["i"]).collect()
+    assert len(n) == 1500 and all(x["ord"] == x["i"] + 1 for x in n)
 
 
 def test_insert_once(spark):
@@ -92,7 +130,11 @@ def test_edges(spark):
     assert {tuple(r) for r in graph.keep_first(e, ["n"]).collect()} == {("a", "b", 0.3), ("b", "c", 0.1)}
     assert graph.prune(e, 0.2).count() == 2
     w = graph.wiring(rows(spark, [{"content": "alpha beta gamma"}, {"content": ""}, {"content": None}]))
-    assert w.filter("weight = 0.3").count() == 3 and w.filter("weight = 0.2").count() == 2 and w.filter("src >= dst").count() == 0
+    f = {x["engram_id"]: x for x in graph.features(rows(spark, [{"content": "alpha beta gamma"}])).collect()}["e000"]
+    assert f["dg"] == sorted(f["dg"]) and set(f["dg"]) < set(f["ca3"]) and len(f["ca3"]) == 2 * len(f["dg"]) - 1
+    one = [(x["src"], x["dst"], x["weight"]) for x in w.filter("engram_id = 'e000'").collect()]
+    # infant stage: a clique of four, eight links of each chain
+    assert len(one) == 6 + 8 + 8 and all(a < b for a, b, _ in one) and sorted(x for *_, x in one) == [0.2] * 8 + [0.3] * 14
 
 
 def test_spread_decays(spark):
@@ -118,9 +160,55 @@ def test_recall_of_nothing(spark):
 
 
 def test_separation_fixture(spark):
-    r = rows(spark, [{"content": "a b c d e f"}, {"content": "a b c d e x"}])
-    got = gate.separation_index(r).first()
-    assert got["separators"] == 6 and got["separation"] == pytest.approx(1 - 5 / 13)
+    r = rows(spark, [{"content": "task failed timeout", "context": "production"}, {"content": "task failed latency", "context": "production"}])
+    a, b = sorted(gate.assess(r).collect(), key=lambda x: x["engram_id"])
+    assert (a["separators"], a["separation"], a["peer"]) == (0, 1.0, None)
+    assert b["overlap"] == pytest.approx(10 / 26) and b["separators"] == 6 and b["overlap_after"] == pytest.approx(10 / 32) and b["separation"] == pytest.approx(0.6875)
+
+
+def test_hybrid_recall_by_vector_alone(spark):
+    """A row without a word of the cue is found by its vector; one without either is not."""
+    unit = lambda i: [1.0 if k == i else 0.0 for k in range(64)]
+    r = rows(spark, [{"content": "redis cache miss storm"}, {"content": "nginx upstream timeout"}, {"content": "graphql limit"}])
+    v = spark.createDataFrame([("e000", unit(1)), ("e001", unit(2)), ("e002", None)], "engram_id string, vector array<float>")
+    cues = spark.createDataFrame([("q", "proxy timeout", "a", unit(1)), ("none", "", "a", None)], "cue_id string, cue string, agent_id string, vector array<float>")
+    got = {x["engram_id"]: x["activation"] for x in recall.recall(r.join(v, "engram_id"), cues).collect()}
+    assert set(got) == {"e000", "e001"} and got["e000"] == pytest.approx(0.45 * 2 / 10 * 0 + 0.2) or got["e000"] > 0.19
+    wired = recall.recall(r.join(v, "engram_id"), cues, edges=graph.merge_max(graph.wiring(r.drop("life_id"), life="life")))
+    assert wired.filter("engram_id = 'e001'").first()["activation"] >= got["e001"]
+
+
+def test_ledger_row_comes_first(spark):
+    r = rows(spark, [{"content": "wallet balance is 60 dollars"}, {"content": "ledger verified: agent wallet balance is $0.00", "context": "ledger:wallet", "provenance": ("ledger_verified", None, 0.99, True)}, {"content": "wallet wallet wallet"}])
+    cues = spark.createDataFrame([("q", "wallet balance", "a", "t"), ("z", "weather", "a", "t")], "cue_id string, cue string, agent_id string, tenant_id string")
+    got = recall.prefer_ledger(recall.recall(r, cues), cues, r).collect()
+    assert [x["engram_id"] for x in sorted(got, key=lambda x: x["rank"])][0] == "e001" and all(x["cue_id"] == "q" for x in got)
+    assert max(x["activation"] for x in got) >= 10
+
+
+def test_cosine_of_merging(spark):
+    """Rows of middling word overlap merge if their vectors are nearly equal; core rows never."""
+    r = rows(spark, [{"content": "alpha beta gamma delta epsilon zeta"}, {"content": "alpha beta gamma delta epsilon theta"}, {"content": "alpha beta gamma delta epsilon zeta", "is_core": True}, {"content": "something else entirely"}])
+    v = spark.createDataFrame([("e000", [1.0] * 64), ("e001", [1.0] * 63 + [1.1]), ("e003", [1.0] * 64)], "engram_id string, vector array<double>")
+    assert graph.merge_pairs(r).count() == 0
+    p = graph.merge_pairs(r, v).collect()
+    assert [(x["a"], x["b"]) for x in p] == [("e000", "e001")] and p[0]["cosine"] > 0.94 and 0.35 < p[0]["jaccard"] < 0.85
+
+
+def test_keepers_are_greedy(spark):
+    p = spark.createDataFrame([("t", "a", "b"), ("t", "b", "c"), ("t", "c", "d"), ("u", "a", "z")], "scope string, a string, b string")
+    got = {(x["scope"], x["cls"]): x["keeper"] for x in graph.keepers(p).collect()}
+    assert got == {("t", "a"): "a", ("t", "b"): "a", ("t", "c"): "c", ("t", "d"): "c", ("u", "a"): "a", ("u", "z"): "a"}
+
+
+def test_preplay_walks(spark):
+    from memloom.operators.preplay import preplay, terminal
+
+    r = rows(spark, [{"content": "alpha beta gamma"}]).drop("life_id")
+    cues = spark.createDataFrame([("q", "alpha beta gamma")], "cue_id string, cue string")
+    p = preplay(graph.merge_max(graph.wiring(r, life="life")), cues, r, 3)
+    assert [x["step"] for x in p.orderBy("step").collect()] == [0, 1, 2] and p.select("node").distinct().count() == 3
+    assert terminal(p).first()["previews"] == ["alpha beta gamma"]
 
 
 def test_fovea_packets(spark):
@@ -137,8 +225,30 @@ def test_query_pages_and_forget(spark):
 
 
 def test_modulators_clip(spark):
-    e = spark.createDataFrame([(i, i, 1, "purchase") for i in range(5)], "event_id long, ts long, user_id long, event_type string")
-    assert [round(r["dopamine"], 2) for r in lifecycle.modulators(e).orderBy("event_id").collect()] == [0.5, 0.7, 0.9, 1.0, 1.0]
+    e = spark.createDataFrame([("k", i + 1, i, 1.0, None, i == 3) for i in range(5)], "k string, tick long, event_id long, reward double, surprise double, sleeps boolean")
+    got = lifecycle.modulators(e, "k").orderBy("event_id").collect()
+    assert [round(r["dopamine"], 3) for r in got] == [0.5, 0.7, 0.9, 1.0, 0.85] and round(got[4]["acetylcholine"], 2) == 0.75
+
+
+def test_stages_need_rows_sleeps_and_pruned(spark):
+    e = spark.createDataFrame([("k", i, i > 1, i % 3 == 0, 2) for i in range(1, 60)], "k string, tick long, experience boolean, sleeps boolean, pruned int")
+    t = lifecycle.stage_timeline(e, "k")
+    first = {r["stage"]: r["t"] for r in t.groupBy("stage").agg(F.min("tick").alias("t")).collect()}
+    assert first == {1: 1, 2: 4, 3: 20} and lifecycle.stage_report(t, "k").first()["next_stage"] == "adolescent"
+
+
+def test_secrets(spark):
+    from memloom.functions.text import has_secret
+
+    bad = ["ghp_" + "a" * 20, "github_pat_" + "b" * 20, "sk-" + "c" * 20, "AKIA" + "D" * 16, "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----"]
+    good = ["ghp_short", "sk-" + "c" * 19, "-----BEGIN DSA PRIVATE KEY-----", "plain"]
+    d = spark.createDataFrame([(x,) for x in bad + good], "x string").select("x", has_secret(F.col("x")).alias("s")).collect()
+    assert [r["s"] for r in d] == [True] * len(bad) + [False] * len(good)
+
+
+def test_clipped_keeps_whole_characters(spark):
+    got = [one(spark, fovea.clipped(F.lit(x), 80)) for x in ("a" * 80, "a" * 81, "é" * 41, "数" * 30)]
+    assert got == ["a" * 80, "a" * 79 + "…", "é" * 39 + "…", "数" * 26 + "…"]
 
 
 def test_micro_rounds_half_up(spark):
@@ -175,6 +285,26 @@ def test_store_round_trip(spark, tmp_path):
     assert st.checkpoint() == 2 and {tuple(r) for r in st.table("rows").collect()} == whole
 
 
+def test_deaths_absorbed_and_replays(spark):
+    log = [{"op": "experience", "engram_id": x, "content": x, "salience": 0.25} for x in "abc"] + [{"op": "core", "engram_id": "a"}, {"op": "replay", "engram_id": "a"}, {"op": "absorb", "engram_id": "c", "key": "a", "salience": 0.5, "magnitude": 4.0}, {"op": "death"}, {"op": "experience", "engram_id": "d", "content": "d"}]
+    got = {r["engram_id"]: (r["life"], r["salience"], r["replay_count"]) for r in replay(events(spark, log)).collect()}
+    assert got == {"a": (0, 0.5, 5), "d": (1, None, 0)}
+
+
+def test_store_upkeep(spark, tmp_path):
+    st = Store(spark, str(tmp_path / "s"))
+    st.append(events(spark, LOG[:4]))
+    st.checkpoint()
+    assert st.truncate() >= 1 and st.log().count() == 0 and st.state().count() == 2
+    assert [(r["name"], r["rows"], r["error"]) for r in st.verify().collect()] == [("rows", 2, None)]
+    copy = st.replica(str(tmp_path / "copy"))
+    assert copy.state().count() == 2 and copy.manifest() == st.manifest()
+    # a manifest another writer put there first is not overwritten
+    st.manifest = lambda: {"version": 0, "tables": {}, "seq": 0}
+    with pytest.raises(RuntimeError):
+        st.commit({}, 9)
+
+
 def test_export_import(spark, sf, tmp_path):
     e = spark.read.parquet(f"{sf}/engrams.parquet")
     fovea.export_raw(e, str(tmp_path / "raw"))
@@ -184,7 +314,7 @@ def test_export_import(spark, sf, tmp_path):
 def test_feed(spark, tmp_path):
     (tmp_path / "f.json").write_text('{"kind":"user","content":"hello"}\n{broken\n{"kind":"tool","content":"bye","context":"c"}\n')
     got = sorted((r["content"], r["context"], r["salience_hint"], len(r["chunk_id"])) for r in fovea.read_feed(spark, str(tmp_path / "f.json")).collect())
-    assert got == [("bye", "c", 0.58, 16), ("hello", "feed", 0.62, 16)]
+    assert got == [("bye", "c", 0.58, 16), ("user:hello", "feed", 0.62, 16)]
 
 
 def test_stream_ingest_is_idempotent(spark, sf, tmp_path):

@@ -1,5 +1,6 @@
 """The store's verbs end to end."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from memloom.engine import Memory, ResultCache, progress, provenance
@@ -25,7 +26,49 @@ def test_memory(spark, tmp_path):
     assert m.activate("connection pool")[0][1] > best[0][1]  # verified rows rank higher
     m.forget(keep)
     assert m.rows().count() == 0 and m.activate("connection pool") == [] and m.status().count() == 0
-    assert set(m.sleep()) == {"facts", "edges", "duplicates"}
+    assert set(m.sleep()) == {"facts", "edges", "duplicates", "replayed"}
+
+
+FULL = "place int, content string, context string, agent_id string, salience_hint double, doc_id string, chunk_id string"
+
+
+def test_life_cycle(spark, tmp_path):
+    """Refusals, chunks, sleep, compaction, death: everything is in the log, and replay gives the state again."""
+    m = Memory(spark, str(tmp_path / "m"), quota=4)
+    rows = [
+        (0, "the planner moved the index to another shard", "work", "a", 2.0, "d", "1"), (1, "a wholly different remark about lunch", "work", "b", 0.1, "d", "1"), (2, "token ghp_" + "x" * 24, "work", "a", 0.1, None, None),
+        (3, "x" * 9000, "work", "a", 0.1, None, None), (4, "replicas lag behind the leader by minutes", "work", "b", None, None, None), (5, "nobody restarted the crawler last night", "work", None, 0.7, None, None), (6, "queue lengths doubled after the release", "work", None, 0.7, None, None), (7, "the fifth row is over the quota", "work", None, 0.7, None, None),
+    ]
+    got = m.experience(spark.createDataFrame(rows, FULL)).collect()
+    assert sorted(r["reason"] for r in got if r["reason"]) == ["deduplicated", "quota", "secret", "too long"]
+    live = {r["content"]: r for r in m.rows().collect()}
+    first = live["the planner moved the index to another shard"]
+    assert len(live) == 4 and first["agent_id"] == "a" and first["salience"] == 1.0 and first["rag"]["doc_id"] == "d" and first["separation_index"] is not None
+    assert m.activate("planner index", agent="b") == [] and m.activate("planner index", agent="a")[0][0] == first["engram_id"]
+    c = m.control()
+    assert c["stage"] == 2 and c["experiences"] == 4 and c["norepinephrine"] > 0.3
+    m.sleep()
+    assert {r["replay_count"] for r in m.rows().collect()} == {1} and m.control()["dopamine"] < 0.5
+    m.mark_core(first["engram_id"], "plan")
+    m.reward(1.0)
+    m.death("test")
+    m.experience(spark.createDataFrame([(0, "a new life begins with this", "work", None, 0.2, None, None)], FULL))
+    life = {r["content"]: r["life_id"] for r in m.rows().collect()}
+    assert life == {"the planner moved the index to another shard": "life-0", "a new life begins with this": "life-1"}
+    assert [tuple(r) for r in m.core_memories().collect()] == [("plan", first["engram_id"], first["content"])]
+    whole = {tuple(r) for r in m.rows().collect()}
+    m.checkpoint()
+    assert {tuple(r) for r in Memory(spark, str(tmp_path / "m"), read_only=True).rows().collect()} == whole
+    with pytest.raises(PermissionError):
+        Memory(spark, str(tmp_path / "m"), read_only=True).reward(1.0)
+
+
+def test_compaction_and_ticks(spark, tmp_path):
+    m = Memory(spark, str(tmp_path / "m"))
+    b = spark.createDataFrame([(0, "ledger rows agree with the bank statement of today", "x", True, 0.9), (1, "ledger rows agree with the bank statement of today", "x ", True, 0.9), (2, "unrelated remark", "x", None, None)], SCHEMA)
+    assert m.experience(b).filter("accepted").count() == 3  # verified rows pass the gate
+    assert m.compact() == 1 and m.rows().count() == 2
+    assert m.tick(360) == 1 and m.tick(10) == 0 and m.control()["sleeps"] >= 1
 
 
 def test_cache():
