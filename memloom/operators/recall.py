@@ -173,7 +173,8 @@ def activated_sums(rows: DataFrame, pairs: DataFrame, act: DataFrame, life: Colu
     r = over_cores(rows).join(pairs.select("engram_id").distinct(), "engram_id", "left_semi").select("engram_id", granules(rich_tokens(F.col("content"), F.col("context"), F.col("outcome")), life).alias("dg"))
     r = materialize(r.select("engram_id", bound(F.col("dg")).alias("fs")), "bound")
     hit = pairs.select("cue_id", "engram_id").join(r, "engram_id").repartition("cue_id", "engram_id").select("cue_id", "engram_id", F.explode("fs").alias("node"))
-    return hit.join(act, ["cue_id", "node"]).groupBy("cue_id", "engram_id").agg(F.sum("activation").alias("energy"))
+    # the smaller side is hashed: neither is worth a sort
+    return hit.join(act.hint("shuffle_hash"), ["cue_id", "node"]).groupBy("cue_id", "engram_id").agg(F.sum("activation").alias("energy"))
 
 
 def recall(rows: DataFrame, cues: DataFrame, k: int = S.TOP_K, scope: str | None = None, edges: DataFrame | None = None, stage: int = 2, boosts: DataFrame | None = None, dim: int = 64) -> DataFrame:

@@ -720,6 +720,23 @@ def stream_ingest_dedup(s, d):
     return streams.drain(streams.deduplicated(streams.read_events(s, d)).select("event_id", "user_id", "event_type"), "append")
 
 
+@q("""
+with recursive o as (select coalesce(tenant_id, '') as scope, engram_id as id, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(content,'')), '\\s+'), lambda x: x <> '')) as ws, coalesce(struct_extract(provenance,'verified'), false) as free,
+  row_number() over (partition by coalesce(tenant_id, '') order by coalesce(encoded_at_tick, 0), engram_id) as ord from engrams),
+ near as (select scope, ord, list(-po) as ps from (select a.scope, a.ord, b.ord as po, len(list_intersect(a.ws, b.ws)) as i, len(a.ws) + len(b.ws) as n from o a join o b on a.scope = b.scope and b.ord < a.ord where len(a.ws) > 0 and len(b.ws) > 0) where round(i / (n - i)::double, 9) >= 0.85 group by 1, 2),
+ w as (select scope, 0::bigint as ord, []::bigint[] as acc, null::varchar as id, true as ok from o group by 1
+  union all
+  select scope, ord, case when ok then list_append(acc, ord) else acc end, id, ok from (
+   select w.scope, o.ord, w.acc, o.id, o.free or coalesce(len(list_filter(near.ps, lambda x: coalesce(list_position(w.acc, -x), 0) > greatest(0, len(w.acc) - 512))), 0) = 0 as ok
+   from w join o on o.scope = w.scope and o.ord = w.ord + 1 left join near on near.scope = o.scope and near.ord = o.ord))
+select id as engram_id, ok as accepted from w where id is not null""")
+def stream_gate(s, d):
+    schema = table(s, d, "engrams").schema
+    raw = s.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{d}/engrams.parquet")
+    r = raw.select(F.coalesce("tenant_id", F.lit("")).alias("scope"), "engram_id", "content", F.coalesce("provenance.verified", F.lit(False)).alias("free"), F.coalesce("encoded_at_tick", F.lit(0)).alias("place"))
+    return streams.drain(streams.gated(r), "append").select("engram_id", "accepted")
+
+
 @q("select strftime(time_bucket(interval 1 day, ts), '%Y-%m-%d') as day, event_type, count(*) as n from events group by 1, 2")
 def stream_tick_windows(s, d):
     t = streams.drain(streams.tick_windows(streams.read_events(s, d)), "complete")

@@ -1,12 +1,17 @@
-"""Structured Streaming: idempotent ingest, tick windows, session activity."""
+"""Structured Streaming: idempotent ingest, admission with state, log tail, expiring keys, tick windows, session activity."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memloom.functions import stages as S
+from memloom.functions.text import word_set
+from memloom.sources.store import EVENT_SCHEMA
 from memloom.sources.tables import shared_dir
 
 
@@ -61,3 +66,46 @@ def ingest(spark: SparkSession, stream: DataFrame, target: str, checkpoint: str)
         df.write.mode("overwrite").parquet(f"{target}/batch={batch}")
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+GATE_OUT = "scope string, engram_id string, peer string, jaccard double, accepted boolean"
+
+
+def gated(rows: DataFrame, window: int = S.GATE_WINDOW) -> DataFrame:
+    """Verdicts of a stream of rows (scope, engram_id, content, free): each scope's state holds the word sets of its last ``window`` accepted rows.
+
+    Within a micro-batch the rows of a scope go by ``place``.  A row is refused
+    at a word Jaccard of the reject limit or more with an accepted row; the
+    review band needs a separation, which a stream of new rows does not have.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def run(key, batches, state):
+        kept = [(i, frozenset(w)) for i, w in json.loads(state.get[0])] if state.exists else []
+        out = []
+        new = [r for pdf in batches for r in pdf.itertuples(index=False)]
+        for r in sorted(new, key=lambda x: (x.place, x.engram_id)):
+            ws, best = frozenset(r.ws if r.ws is not None else ()), None
+            for i, w in kept:
+                j = round(len(ws & w) / len(ws | w), 9) if ws and w else 0.0
+                if j > 0 and (best is None or j > best[0]):
+                    best = (j, i)
+            ok = bool(r.free) or best is None or best[0] < S.REJECT
+            if ok:
+                kept = [*kept, (r.engram_id, ws)][-window:]
+            out.append((key[0], r.engram_id, best[1] if best else None, best[0] if best else None, ok))
+        state.update((json.dumps([(i, sorted(w)) for i, w in kept]),))
+        yield pd.DataFrame(out, columns=["scope", "engram_id", "peer", "jaccard", "accepted"]).astype({"peer": object, "jaccard": "float64"})
+
+    return rows.select("scope", "engram_id", word_set(F.col("content")).alias("ws"), "free", "place").groupBy("scope").applyInPandasWithState(run, GATE_OUT, "kept string", "append", GroupStateTimeout.NoTimeout)
+
+
+def log_tail(spark: SparkSession, root: str) -> DataFrame:
+    """The event log of a store as a stream: new files of it as they come, broken lines left out."""
+    raw = spark.readStream.schema(EVENT_SCHEMA + ", _broken string").option("columnNameOfCorruptRecord", "_broken").json(f"{root.rstrip('/')}/log")
+    return raw.filter("_broken is null and seq is not null").drop("_broken")
+
+
+def fresh(events: DataFrame, key: str, seconds: int = 60) -> DataFrame:
+    """Events whose ``key`` was not seen in the ``seconds`` before: a cache of keys that expire, as state under a watermark."""
+    return events.withWatermark("ts", f"{seconds} seconds").dropDuplicatesWithinWatermark([key])

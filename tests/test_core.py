@@ -325,6 +325,20 @@ def test_stream_ingest_is_idempotent(spark, sf, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == spark.read.parquet(f"{sf}/events.parquet").count()
 
 
+def test_log_tail_and_expiring_keys(spark, tmp_path):
+    from memloom.streaming import ingest as st
+
+    store = Store(spark, str(tmp_path / "s"))
+    store.append(events(spark, LOG[:3]))
+    store.append(events(spark, LOG).filter("seq > 3"))
+    got = st.drain(st.log_tail(spark, str(tmp_path / "s")), "append")
+    assert {tuple(r) for r in replay(got).collect()} == {tuple(r) for r in replay(events(spark, LOG)).collect()}
+    (tmp_path / "in").mkdir()
+    spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:00:30"), ("b", "2024-01-01 00:00:10")], "k string, ts string").coalesce(1).write.json(str(tmp_path / "in/x"))
+    s = spark.readStream.schema("k string, ts timestamp").json(str(tmp_path / "in/x"))
+    assert sorted(r["k"] for r in st.drain(st.fresh(s, "k"), "append").collect()) == ["a", "b"]
+
+
 def test_release_deletes_intermediate_tables(spark):
     from memloom.sources.tables import materialize, release, spread
 
