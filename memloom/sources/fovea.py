@@ -78,6 +78,15 @@ def hash_embedding(docs: DataFrame, id_col: str, text: str, dim: int = 32) -> Da
 FEED_SCHEMA = "kind string, content string, context string, created_at string, agent_id string"
 
 
+def embedded(rows: DataFrame, id_col: str, text: str, encode=None, dim: int = 32) -> DataFrame:
+    """``rows`` with a ``vector``: of ``encode`` (a column function, such as a pandas UDF over texts), or the dense hash projection. Empty texts have none."""
+    if encode is not None:
+        return rows.withColumn("vector", F.when(F.trim(F.coalesce(F.col(text), F.lit(""))) != "", encode(F.col(text))))
+    h = hash_embedding(rows.filter(F.trim(F.coalesce(F.col(text), F.lit(""))) != ""), id_col, text, dim).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct(F.col("slot").cast("int"), "value"))).alias("_m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("_m", i), F.lit(0.0)).cast("float"))
+    return rows.join(h.select(id_col, dense.alias("vector")), id_col, "left")
+
+
 def feed_episodes(rows: DataFrame) -> DataFrame:
     """Rows of a feed (kind, content, context, agent_id) as episodes: the kind before the text, texts and contexts cut, empty ones left out; the chunk id is a hash of the row."""
     prefix = F.when(F.col("kind").isin("user", "assistant", "think"), F.concat("kind", F.lit(":"))).otherwise("")

@@ -71,6 +71,39 @@ def test_compaction_and_ticks(spark, tmp_path):
     assert m.tick(360) == 1 and m.tick(10) == 0 and m.control()["sleeps"] >= 1
 
 
+def test_project(spark, tmp_path):
+    from memloom.project import Project
+
+    p = Project(spark, str(tmp_path / "p"), "planner")
+    assert p.session_context() == "" and p.handoffs().count() == 0
+    p.remember("the release train leaves on monday", verified=True, confidence=0.9).count()
+    p.remember("private remark about the release", shared=False).count()
+    assert {side for side, *_ in p.recall("release")} == {"project", "agent"} and {side for side, *_ in p.recall("release", "agent")} == {"agent"}
+    p.handoff("indexer half done", "core/index", "blocked", ["finish"])
+    text = p.session_context("core/index/")
+    assert "release train" in text and "[blocked] planner in core/index: indexer half done" in text
+    with pytest.raises(ValueError):
+        Project(spark, str(tmp_path / "p"), "../x")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from memloom.__main__ import main, run
+
+    m = Memory(spark, str(tmp_path / "c"))
+    assert run(m, "remember", ["a note for later"])[0]["accepted"] and run(m, "recall", ["note later"])[0]["activation"] > 0
+    assert run(m, "checkpoint", []) == 1 and run(m, "check", [])[0]["rows"] == 1 and run(m, "stage", [])["experiences"] == 1
+    assert main([]) == 2 and "remember TEXT" in capsys.readouterr().out
+
+
+def test_embedded(spark):
+    from memloom.sources.fovea import embedded
+
+    d = spark.createDataFrame([(1, "alpha beta"), (2, ""), (3, None)], "id int, t string")
+    v = {r["id"]: r["vector"] for r in embedded(d, "id", "t").collect()}
+    assert len(v[1]) == 32 and sum(x * x for x in v[1]) == pytest.approx(1, abs=1e-5) and v[2] is None and v[3] is None
+    assert embedded(d, "id", "t", lambda c: F.array(F.length(c).cast("float"))).filter("id = 1").first()["vector"] == [10.0]
+
+
 def test_cache():
     c = ResultCache(2, 60)
     c.put("a", 1)
