@@ -194,7 +194,7 @@ def train(labels: str, out: str, seconds: float, start: str | None = None, worke
     conns, procs = [], []
     for w in range(workers or os.cpu_count() or 1):
         here, there = mp.Pipe()
-        procs.append(mp.Process(target=_worker, args=(there, SEED + w, labels, 0.006 if start else 0.01), daemon=True))
+        procs.append(mp.Process(target=_worker, args=(there, SEED + w, labels, 0.005 if start else 0.01), daemon=True))
         procs[-1].start()
         conns.append(here)
     began, rounds = time.time(), 0
