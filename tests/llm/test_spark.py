@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from memloom.llm import queries as Q
 from memloom.llm.dedupe import batch_repeats, components, same_text_groups
 from memloom.llm.leakage import leaks
-from memloom.llm.markov import cliques, closed_cliques, clusters, similarity_graph
+from memloom.llm.markov import cliques, closed_cliques, clusters, markov_clusters, similarity_graph
 from memloom.llm.mixing import mix
 from memloom.llm.pii import find_pii
 from memloom.llm.spam import spam_pages
@@ -233,6 +233,15 @@ def test_a_bridge_joins_no_clusters(spark):
     assert len({c[i] for i in range(5)}) == len({c[i] for i in range(10, 15)}) == 1 and c[0] != c[10]
 
 
+def test_unsettled_flow_and_trust_warn(spark):
+    g = spark.createDataFrame([(b, a, 0.9) for b in range(6) for a in range(b)], "src long, dst long, cosine double")
+    with pytest.warns(RuntimeWarning):
+        assert markov_clusters(g, most=1).count() == 6
+    c = spark.createDataFrame([("x", "f", "a", "1", 1.0), ("x", "f", "b", "2", 1.0), ("x", "f", "c", "2", 1.0), ("y", "f", "a", "1", 1.0), ("y", "f", "b", "2", 1.0)], "object string, field string, source string, value string, weight double")
+    with pytest.warns(RuntimeWarning):
+        truth_discovery(c, most=1)
+
+
 def test_split_cluster_is_joined_again(spark):
     """A clique that the flow would split is one cluster after the search outside."""
     rng = np.random.default_rng(11)
