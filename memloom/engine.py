@@ -194,8 +194,8 @@ class Memory:
         self._log(recent.select("engram_id").withColumn("op", F.lit("replay")).withColumn("seq", F.row_number().over(W.orderBy("engram_id")) + F.lit(seq - 1)))
         self._event("sleep")
         c = self.control()
-        edges = graph.merge_max(graph.wiring(rows))
-        strong = graph.hebbian(edges, graph.together(edges, recent))
+        edges = materialize(graph.merge_max(graph.wiring(rows)), "edges")
+        strong = graph.hebbian(graph.together(edges, recent))
         out = {"facts": graph.token_facts(recent), "edges": graph.prune(strong, S.STAGES[c["stage"]][3]), "duplicates": graph.exact_duplicates(rows), "replayed": recent.select("engram_id")}
         if c["sleeps"] % S.COMPACT_EVERY == 0:
             self.compact()
